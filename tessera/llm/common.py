@@ -142,7 +142,7 @@ def hash_words(texts: pa.Array, lower: bool = True) -> Words:
     return Words(raw, starts, ends, h, np.searchsorted(starts, offs))
 
 
-def text_slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def text_slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes (or one row), so that numpy's temporaries stay small."""
     _, offs = _text_buffers(texts) if len(texts) else (None, np.zeros(1, np.int64))
     a = 0
@@ -186,3 +186,81 @@ def connected_components(ws: Workspace, edges: DataFrame, tag: str = "cc") -> Da
             ws.drop(f"{tag}{n - 2}")
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+# ---------------------------------------------------------------- ids of words
+def hash_segments(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of consecutive non-empty byte segments that cover ``raw``."""
+    lens = np.diff(ends, prepend=0)
+    ptr = ends - lens
+    at = np.arange(len(raw), dtype=np.int64) - np.repeat(ptr, lens)
+    v = _BYTE[raw]
+    v *= _powers(int(lens.max()))[at]
+    return mix64(np.add.reduceat(v, ptr) + lens.astype(U64))
+
+
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The concatenation of start[i] .. start[i]+length[i]-1."""
+    total = int(length.sum())
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(total, dtype=np.int64)
+
+
+class IdCache:
+    """Ids of words by hash, for encoders that treat words independently of each other.
+
+    It saves work only: past ``most`` words those met in one portion alone go, and every word that isn't there is encoded.
+    """
+
+    def __init__(self, dtype, most: int = 300_000):
+        self.dtype, self.most = dtype, most
+        self._reset(np.zeros(0, U64), np.zeros(0, dtype), np.zeros(0, np.int64))
+
+    def _reset(self, keys: np.ndarray, pool: np.ndarray, length: np.ndarray) -> None:
+        self.at: dict[int, int] = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        self.pool, self.used = pool, len(pool)
+        self.length, self.start = length, np.cumsum(length) - length
+        self.met = np.zeros(len(keys), np.int32)
+
+    def _shrink(self) -> None:
+        keep = np.flatnonzero(self.met[: len(self.at)] > 1)
+        if len(keep) > self.most // 2:
+            keep = keep[:0]
+        keys = np.fromiter(self.at, U64, len(self.at))[keep]
+        length = self.length[keep]
+        self._reset(keys, self.pool[ranges(self.start[keep], length)], length)
+
+    def _room(self, words: int, ids: int) -> None:
+        def grown(x: np.ndarray, n: int) -> np.ndarray:
+            return x if n <= len(x) else np.concatenate((x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)))
+
+        self.pool = grown(self.pool, self.used + ids)
+        self.start, self.length, self.met = (grown(v, len(self.at) + words) for v in (self.start, self.length, self.met))
+
+    def lookup(self, hashes: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and how many each word has. ``encode`` maps positions of words to their ids, one after the other, and the numbers of them."""
+        if len(self.at) > self.most:
+            self._shrink()
+        uniq, first, inv = np.unique(hashes, return_index=True, return_inverse=True)
+        keys, get = uniq.tolist(), self.at.get
+        known = np.fromiter((get(h, -1) for h in keys), np.int64, len(keys))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            ids, n = encode(first[new].tolist())
+            self._room(len(new), len(ids))
+            k = len(self.at)
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.length[k : k + len(new)] = n
+            self.start[k : k + len(new)] = self.used + np.cumsum(n) - n
+            self.used += len(ids)
+            self.at.update(zip(uniq[new].tolist(), range(k, k + len(new)), strict=True))
+            known[new] = np.arange(k, k + len(new))
+        self.met[known] += 1
+        known = known[inv]
+        length = self.length[known]
+        return self.pool[ranges(self.start[known], length)], length
+
+
+def flat(lists: list[list[int]], dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array, and their lengths."""
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((i for x in lists for i in x), dtype, int(n.sum())), n
