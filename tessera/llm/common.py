@@ -63,6 +63,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+_STOP, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[[ord("."), ord(",")]] = True
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _BASE = U64(0x9E3779B97F4A7C15)
 _POW = np.ones(1, U64)
@@ -112,10 +115,10 @@ def _text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, o - o[0]
 
 
-def hash_words(texts: pa.Array, lower: bool = True) -> Words:
+def hash_words(texts: pa.Array, lower: bool = True, cut_stops: bool = False) -> Words:
     """Split texts at runs of ASCII white space (0x20, 0x09-0x0D) and hash each word, all in numpy.
 
-    ``lower`` maps A-Z to a-z first. Equal words get equal hashes; unequal ones collide with a chance of 2^-64.
+    ``lower`` maps A-Z to a-z first; ``cut_stops`` also cuts between an ASCII letter and a following ``.`` or ``,``. Equal words get equal hashes; unequal ones collide with a chance of 2^-64.
     """
     raw, offs = _text_buffers(texts)
     if lower:
@@ -128,6 +131,11 @@ def hash_words(texts: pa.Array, lower: bool = True) -> Words:
     before[offs[:-1][offs[:-1] < len(raw)]] = False
     after = np.concatenate((inside[1:], [False]))
     after[offs[1:][offs[1:] > 0] - 1] = False
+    if cut_stops:
+        cut = np.flatnonzero(before & _STOP[raw])
+        cut = cut[_LETTER[raw[cut - 1]]]
+        before[cut] = False
+        after[cut - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
     lens = ends - starts

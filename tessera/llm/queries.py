@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import spm, token_files
 from tessera.llm.minhash import near_duplicates
 
 
@@ -13,12 +15,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of an installed vocabulary file: in the folder TESSERA_TOKENIZERS, or where the package of files is."""
+    if folder := os.environ.get("TESSERA_TOKENIZERS"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_digests(token_files.write_token_files(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), digest=True)
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_minhash_dedup,)}
+    return {f.__name__: f for f in (op3_token_files, op7_sentencepiece, op9_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,6 +21,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -47,7 +48,8 @@ def _tokenizer(path: str):
 
 
 def splits_at_white_space(path: str) -> bool:
-    """Whether the tokenizer drops white space and never joins across it, so that words can be encoded one by one."""
+    """Whether the tokenizer lower-cases, drops white space, and never joins across it or letters and stops, so that
+    words can be encoded one by one."""
     import json
 
     with open(path, encoding="utf-8") as f:
@@ -55,7 +57,8 @@ def splits_at_white_space(path: str) -> bool:
     norm, pre = ((spec[k] or {}).get(part, []) for k, part in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
     folds = any(n["type"] == "Replace" and n["pattern"].get("Regex") == r"\s+" for n in norm)
     drops = any(p["type"] == "Split" and p["behavior"] == "Removed" and p["invert"] and r"[^\s" in p["pattern"].get("Regex", "") for p in pre)
-    return folds and drops and not any(set(t["content"]) & set(" \t\n\v\f\r") or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+    lowers = any(n["type"] == "Lowercase" for n in norm)
+    return folds and drops and lowers and not any(not t["content"].startswith("<|") or set(t["content"]) & set(" \t\n\v\f\r") or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
 
 
 def _encode_words(tok, words: list[str], dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +80,8 @@ def encode_texts(texts: pa.Array, path: str, by_word: bool) -> tuple[np.ndarray,
     if not by_word:
         got = [e.ids for e in tok.encode_batch(texts.fill_null("").to_pylist(), add_special_tokens=False)]
         return np.concatenate([np.asarray(x, cache.dtype) for x in got]), np.array([len(x) for x in got], np.int64)
-    words = hash_words(texts, lower=False)
+    # letters in lower case and stops apart, as the tokenizer has them; added tokens keep their case
+    words = hash_words(texts, lower=not pc.any(pc.match_substring(texts, "<|")).as_py(), cut_stops=True)
     if not len(words.hashes):
         return np.zeros(0, cache.dtype), np.zeros(len(texts), np.int64)
     ids, n = cache.lookup(words.hashes, lambda at: _encode_words(tok, [words.word(i).decode() for i in at], cache.dtype))
