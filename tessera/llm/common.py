@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 
 # ---------------------------------------------------------------- working folder
+_OWN: dict[str, str] = {}  # folders of local sessions without the setting
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -24,8 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError(f"set {key} to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set(key, found)
+        found = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="tessera-")
+        _OWN[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 

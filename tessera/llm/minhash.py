@@ -6,9 +6,11 @@ go to inverted lists. A pair at or above the threshold shares at least t of its
 small sets, but for a chance of ``miss`` otherwise), so under any order of all values it shares one of each side's
 first index_k - t + 1; values are ordered by how often sketches hold them (a counting table of fixed size), which
 keeps very common passages out of the lists. Lists give candidates in two steps: every member against the list's
-first document, which links groups of near copies in linear work; then, for lists whose members are still in
-different components, blocks of members against blocks within the possible size range. The union of two sketches
-estimates the overlap and drops far pairs; full sets, built again for the candidates only, decide.
+first document, which links groups of near copies in linear work (the union of two sketches estimates the overlap and
+drops far pairs, full sets decide); then, for lists whose members are still in different components, blocks of members
+against blocks within the possible size range. Before that, documents too much of which no other one in such lists
+has are dropped, as they can't link. Blocks carry full sets, built again for those documents only, and give no more
+links than join their components; pairs that don't link are never rows.
 
 Defined results: null or empty text, or text without words: an empty set, linked with nothing, a component of its
 own. Fewer words than a shingle: the whole word sequence is the one shingle. Repeated rows (same doc_id) each give a
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Workspace, connected_components, hash_words, mix64, text_slices
+from tessera.llm.common import U64, Workspace, connected_components, hash_words, mix64, ranges, text_slices
 
 _COEF = mix64(np.arange(1, 257, dtype=np.uint64)) | U64(1)
 _SETS = "doc_id long, cls long, n_shingles long, sketch binary"
@@ -152,41 +154,67 @@ def _verified(batches: Iterator[pa.RecordBatch], p100: int) -> Iterator[pa.Recor
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _block_pairs(rows: pa.Table, k: int, least: float, p100: int) -> pa.Table:
-    """Candidates between two blocks of one list: other component, possible sizes, estimate at or above ``least``."""
+def _values(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """A row for each value of each set."""
+    for batch in batches:
+        cls = batch.column("cls").to_numpy()
+        for k in range(0, len(cls), 500):
+            sets = [np.frombuffer(v, np.int64) for v in batch.column(column).slice(k, 500).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cls[k : k + 500], [len(s) for s in sets])), pa.array(np.concatenate(sets))], names=["cls", "value"])
+
+
+def private_counts(sets: DataFrame, column: str) -> DataFrame:
+    """cls, private: how many values of a set are in no other one."""
+    rows = sets.select("cls", column).mapInArrow(partial(_values, column=column), "cls long, value long")
+    once = rows.groupBy("value").agg(F.count("*").alias("n"), F.min("cls").alias("cls")).filter("n = 1")
+    return once.groupBy("cls").agg(F.count("*").alias("private"))
+
+
+def _block_links(rows: pa.Table, p100: int) -> pa.Table:
+    """Links between two blocks of one list, by full sets, as far as they join components that aren't joined yet."""
     same = rows.num_rows > 0 and rows.column("p")[0].as_py() == rows.column("q")[0].as_py()
     side = rows.column("side").to_numpy()
     la = rows.filter(pa.array(side == 0))
     ra = la if same else rows.filter(pa.array(side == 1))
     if not la.num_rows or not ra.num_rows:
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    (ca, na, ga), (cb, nb, gb) = ((x.column("cls").to_numpy(), x.column("n").to_numpy(), x.column("comp").to_numpy()) for x in (la, ra))
-    sb = [np.frombuffer(v, U64) for v in ra.column("sketch").to_pylist()]
+    (ca, na, ea, ga), (cb, nb, eb, gb) = ((x.column(c).to_numpy() for c in ("cls", "n", "shared", "comp")) for x in (la, ra))
+    names, flat = np.unique(np.concatenate((ga, gb)), return_inverse=True)
+    ga, gb = flat[: len(ga)], flat[len(ga) :].copy()
+    root = np.arange(len(names))  # of each component
+    sb = [np.frombuffer(v, U64) for v in ra.column("full").to_pylist()]
     values = np.concatenate(sb)
     owner = np.repeat(np.arange(len(sb)), [len(v) for v in sb])
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     outs = []
-    for i, sk in enumerate(la.column("sketch").to_pylist()):
-        s = np.frombuffer(sk, U64)
-        ok = (ga[i] != gb) & (100 * np.minimum(na[i], nb) >= p100 * np.maximum(na[i], nb))
+    for i, v in enumerate(la.column("full").to_pylist()):
+        # an overlap is at most what each side shares with any set
+        most = np.minimum(ea[i], eb)
+        ok = (root[ga[i]] != root[gb]) & ((100 + p100) * most >= p100 * (na[i] + nb))
         if same:
-            ok &= cb > ca[i]
+            ok[: i + 1] = False
         if not ok.any():
             continue
+        s = np.frombuffer(v, U64)
         lo, hi = np.searchsorted(values, s), np.searchsorted(values, s, "right")
-        n = int((hi - lo).sum())
-        at = np.repeat(lo, hi - lo) + np.arange(n) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-        shared = np.bincount(owner[at], minlength=len(sb))
-        # few shared values at all can't reach the estimate; then the estimate itself
-        for j in np.flatnonzero(ok & (shared >= least * np.minimum(k, np.minimum(na[i], nb)) - 1e-9)):
-            if overlap_estimate(s, sb[j], k) >= least:
+        both = np.bincount(owner[ranges(lo, hi - lo)], minlength=len(sb))
+        for j in np.flatnonzero(ok & (100 * both >= p100 * (na[i] + nb - both))):
+            x, y = root[ga[i]], root[gb[j]]
+            if x != y:
+                root[root == y] = x
                 outs.append((ca[i], cb[j]))
     x = np.array(outs, np.int64).reshape(-1, 2)
     return pa.table({"a": x[:, 0], "b": x[:, 1]})
 
 
 # ---------------------------------------------------------------- operator
+def _open_lists(member: DataFrame) -> DataFrame:
+    """Rows of lists whose members are in more than one component."""
+    lists = member.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("value")
+    return member.join(lists, "value")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64, index_k: int = 32, slots_bits: int = 20, block: int = 256, miss: float = 1e-6) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (the document whose id names its component).
 
@@ -212,47 +240,49 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     shared = ws.write(lists.join(heads, "value").join(first, "cls"), "shared")
 
     share = least_shared(percent / 100, k, miss) / k
-
-    def confirmed(pairs: DataFrame, tag: str, estimate: bool) -> DataFrame:
-        if estimate:
-            sk = reps.select("cls", "sketch")
-            joined = pairs.join(sk.toDF("a", "sa"), "a").join(sk.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-            pairs = joined.mapInArrow(partial(_estimated, k=k, least=share), "a long, b long")
-        pairs = ws.write(pairs, f"{tag}_pairs")
-        need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    def full_sets(need: DataFrame, tag: str) -> DataFrame:
         ids = need.join(first, "cls").select("doc_id").distinct()
         again = texts.join(ids, texts.doc_id.eqNullSafe(ids.doc_id), "left_semi")
-        full = again.mapInArrow(partial(_full_sets, n=words), "cls long, full binary").join(need, "cls", "left_semi").groupBy("cls").agg(F.first("full").alias("full"))
-        full = ws.write(full, f"{tag}_full")
-        both = pairs.join(full.toDF("a", "fa"), "a").join(full.toDF("b", "fb"), "b").select("a", "b", "fa", "fb")
-        out = ws.write(both.mapInArrow(partial(_verified, p100=percent), "a long, b long"), f"{tag}_links")
-        ws.drop(f"{tag}_full", f"{tag}_pairs")
-        return out
+        rows = again.mapInArrow(partial(_full_sets, n=words), "cls long, full binary").join(need, "cls", "left_semi")
+        return ws.write(rows.groupBy("cls").agg(F.first("full").alias("full")), tag)
 
     # step 1: each list's members against its first document
     lead = shared.groupBy("value").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "cls")).alias("lead")).select("value", F.col("lead.cls").alias("a"))
     pairs = shared.join(lead, "value").filter("a <> cls").select("a", F.col("cls").alias("b")).distinct()
-    links = confirmed(pairs, "star", True)
+    sk = reps.select("cls", "sketch")
+    joined = pairs.join(sk.toDF("a", "sa"), "a").join(sk.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    pairs = ws.write(joined.mapInArrow(partial(_estimated, k=k, least=share), "a long, b long"), "pairs")
+    full = full_sets(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "full1")
+    both = pairs.join(full.toDF("a", "fa"), "a").join(full.toDF("b", "fb"), "b").select("a", "b", "fa", "fb")
+    links = ws.write(both.mapInArrow(partial(_verified, p100=percent), "a long, b long"), "links1")
+    ws.drop("full1", "pairs")
     comp = ws.write(connected_components(ws, links, "cc"), "comp")
 
-    # step 2: lists whose members are not in one component yet, block against block
-    member = shared.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component", "doc_id")
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
-    member = member.withColumn("band", band)
-    open_ = member.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("value")
-    member = ws.write(member.join(open_, "value"), "open")
+    # step 2: lists whose members are not in one component yet. A set can't link if too much of it is in no other set
+    # of such lists: first by sketches (but for the same chance), then by full sets
+    member = shared.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).select("value", "cls", "n", "comp")
+    member = ws.write(_open_lists(member), "open")
+    near = member.select("cls").distinct().join(sketches, "cls")
+    alone = k - least_shared(percent / 100, k, miss)
+    most_alone = F.when(F.col("n_shingles") >= k, F.lit(alone)).otherwise(F.greatest(F.lit(0), F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100 * 0.6)))
+    near = near.join(private_counts(near, "sketch"), "cls", "left").filter(F.coalesce("private", F.lit(0)) <= most_alone).select("cls")
+    full = full_sets(ws.write(near, "near"), "full2")
+    sizes = full.select("cls", (F.length("full") / 8).cast("long").alias("n"))
+    held = sizes.join(private_counts(full, "full"), "cls", "left").select("cls", (F.col("n") - F.coalesce("private", F.lit(0))).alias("shared"), "n").filter(F.col("shared") * 100 >= F.col("n") * percent)
+    member = _open_lists(member.join(ws.write(held.select("cls", "shared"), "held"), "cls"))
+    member = ws.write(member.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")), "members")
     per = member.groupBy("value", "band").agg(F.count("*").alias("m")).select("value", "band", F.ceil(F.col("m") / block).cast("int").alias("subs"))
     placed = member.join(per, ["value", "band"]).withColumn("sub", F.pmod(F.xxhash64("cls", "n"), F.col("subs").cast("long")).cast("int"))
     # a block of band g meets those of its band and of the next two (rounding of the logarithm included)
     spot = per.select("value", "band", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
     other = spot.select("value", F.col("band").alias("band2"), F.col("sub").alias("sub2"))
-    near = spot.join(other.withColumn("band", F.explode(F.array(*[F.col("band2") - i for i in range(3)]))), ["value", "band"]).filter("band2 > band or sub2 >= sub")
-    near = near.select("value", F.struct("band", "sub").alias("p"), F.struct(F.col("band2").alias("band"), F.col("sub2").alias("sub")).alias("q"))
-    rows = placed.select("value", F.struct("band", "sub").alias("at"), "cls", "n", "comp").join(reps.select("cls", "sketch"), "cls")
-    keys = near.select(F.col("p").alias("at"), "value", "p", "q", F.lit(0).alias("side")).unionByName(near.filter("p <> q").select(F.col("q").alias("at"), "value", "p", "q", F.lit(1).alias("side")))
-    blocks = rows.join(keys, ["value", "at"]).select("value", "p", "q", "side", "cls", "n", "comp", "sketch")
-    found = blocks.groupBy("value", "p", "q").applyInArrow(lambda rows: _block_pairs(rows, k, share, percent), "a long, b long")
-    more = confirmed(found.distinct(), "block", False)
+    meet = spot.join(other.withColumn("band", F.explode(F.array(*[F.col("band2") - i for i in range(3)]))), ["value", "band"]).filter("band2 > band or sub2 >= sub")
+    meet = meet.select("value", F.struct("band", "sub").alias("p"), F.struct(F.col("band2").alias("band"), F.col("sub2").alias("sub")).alias("q"))
+    keys = meet.select(F.col("p").alias("at"), "value", "p", "q", F.lit(0).alias("side")).unionByName(meet.filter("p <> q").select(F.col("q").alias("at"), "value", "p", "q", F.lit(1).alias("side")))
+    rows = placed.select("value", F.struct("band", "sub").alias("at"), "cls", "n", "shared", "comp").join(keys, ["value", "at"]).join(full, "cls")
+    blocks = rows.select("value", "p", "q", "side", "cls", "n", "shared", "comp", "full")
+    more = ws.write(blocks.groupBy("value", "p", "q").applyInArrow(lambda rows: _block_links(rows, percent), "a long, b long"), "links2")
+    ws.drop("full2")
     comp = ws.write(connected_components(ws, links.unionByName(more), "cd"), "components")
 
     # class -> least doc_id of its component -> documents
