@@ -178,7 +178,7 @@ def _block_links(rows: pa.Table, p100: int) -> pa.Table:
     ra = la if same else rows.filter(pa.array(side == 1))
     if not la.num_rows or not ra.num_rows:
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    (ca, na, ea, ga), (cb, nb, eb, gb) = ((x.column(c).to_numpy() for c in ("cls", "n", "shared", "comp")) for x in (la, ra))
+    (ca, na, ea, ga), (cb, nb, eb, gb) = ([x.column(c).to_numpy() for c in ("cls", "n", "shared", "comp")] for x in (la, ra))
     names, flat = np.unique(np.concatenate((ga, gb)), return_inverse=True)
     ga, gb = flat[: len(ga)], flat[len(ga) :].copy()
     root = np.arange(len(names))  # of each component
