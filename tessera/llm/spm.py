@@ -70,9 +70,10 @@ class Model:
         self.length = np.array([len(t) for t in texts], np.int64)
         self.start = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
-        self.cache = IdCache(np.int32)
+        self.pieces = {i: p for p, i in self.ids.items()}
+        self.pairs: dict[int, bool] = {}
+        self.alone: dict[int, bool] = {}
+        self.cache = IdCache(np.int32, 600_000)
 
     def merged(self, s: str) -> list[str]:
         """The pieces of a short string by the definition: merge the best-scored neighbours, leftmost first."""
@@ -87,18 +88,16 @@ class Model:
                 return x
             x[at : at + 2] = [x[at] + x[at + 1]]
 
-    def valid(self, before: str | None, piece: str) -> bool:
-        """Whether ``piece`` can follow ``before`` (None: the start, or a character without a piece)."""
-        if before is None:
-            ok = self.alone.get(piece)
-            if ok is None:
-                ok = self.alone[piece] = self.merged(piece) == [piece]
+    def valid(self, before: int, piece: int) -> bool:
+        """Whether ``piece`` can follow ``before`` (-1: the start, or a character without a piece)."""
+        p = self.pieces[piece]
+        if before < 0:
+            ok = self.alone[piece] = self.merged(p) == [p]
             return ok
-        ok = self.pairs.get((before, piece))
-        if ok is None:
-            if len(self.pairs) > 500_000:  # saves work only
-                self.pairs.clear()
-            ok = self.pairs[before, piece] = self.merged(before + piece) == [before, piece]
+        if len(self.pairs) > 500_000:  # saves work only
+            self.pairs.clear()
+        q = self.pieces[before]
+        ok = self.pairs[before << 32 | piece] = self.merged(q + p) == [q, p]
         return ok
 
 
@@ -109,7 +108,7 @@ class StreamingViterbi:
         self.model = model
         self.text = ""  # from the last committed boundary on
         self.back = [-1]  # per position of it: where its last piece starts
-        self.last: list[str | None] = [None]  # per position: its last piece; None at the start and after a character without one
+        self.last = [-1]  # per position: its last piece; -1 at the start and after a character without one
         self.widest = 0
 
     def feed(self, s: str) -> list[int]:
@@ -123,18 +122,19 @@ class StreamingViterbi:
         return out
 
     def _search(self, done: int) -> None:
+        """Fill the positions after ``done``; those up to it depend on the text before them only."""
         m, text, back, last = self.model, self.text, self.back, self.last
-        ids, tails, pairs, alone = m.ids, m.tails, m.pairs, m.alone
+        piece, tails, pairs, alone = m.ids.get, m.tails.get, m.pairs.get, m.alone
         for i in range(done + 1, len(text) + 1):
-            if text[i - 1] not in ids:
+            if piece(text[i - 1]) is None:
                 back.append(i - 1)
-                last.append(None)
+                last.append(-1)
                 continue
-            for n in tails.get(text[i - 3 : i], SHORT) if i > 2 else SHORT:
+            for n in tails(text[i - 3 : i], SHORT) if i > 2 else SHORT:
                 j = i - n
-                if j >= 0 and (p := text[j:i]) in ids:
+                if j >= 0 and (p := piece(text[j:i])) is not None:
                     q = last[j]
-                    ok = alone.get(p) if q is None else pairs.get((q, p))
+                    ok = alone.get(p) if q < 0 else pairs(q << 32 | p)
                     if m.valid(q, p) if ok is None else ok:
                         back.append(j)
                         last.append(p)
@@ -152,11 +152,11 @@ class StreamingViterbi:
         return live.pop()
 
     def _emit(self, to: int) -> list[int]:
-        ids, byte_id, out = self.model.ids, self.model.byte_id, []
+        last, back, byte_id, out = self.last, self.back, self.model.byte_id, []
         while to > 0:
-            p, j = self.last[to], self.back[to]
-            if p is not None:
-                out.append(ids[p])
+            p, j = last[to], back[to]
+            if p >= 0:
+                out.append(p)
             else:
                 out += [byte_id[b] for b in reversed(self.text[j:to].encode())]
             to = j
@@ -187,11 +187,28 @@ def load(path: str) -> Model:
 def encode_one(model: Model, s: str) -> list[int]:
     """The ids of a string that is already marked (spaces as U+2581)."""
     v = StreamingViterbi(model)
-    if len(s) > PORTION:
-        return v.feed(s) + v.finish()
-    v.text = s  # not longer than a portion: nothing to commit before its end
-    v._search(0)
-    return v._emit(len(s))
+    return v.feed(s) + v.finish()
+
+
+def encode_many(model: Model, texts: list[str]) -> list[list[int]]:
+    """As ``encode_one``, for many strings. Short ones go in order, and each goes on from the prefix it shares with the one before."""
+    out: list[list[int]] = [[]] * len(texts)
+    v, was = StreamingViterbi(model), ""
+    for i in sorted(range(len(texts)), key=texts.__getitem__):
+        s = texts[i]
+        if len(s) > PORTION:
+            out[i] = encode_one(model, s)
+            continue
+        n = 0
+        for x, y in zip(s, was):  # noqa: B905  the shorter ends it
+            if x != y:
+                break
+            n += 1
+        v.text, was = s, s
+        del v.back[n + 1 :], v.last[n + 1 :]
+        v._search(n)
+        out[i] = v._emit(len(s))
+    return out
 
 
 def encode_batch(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +235,7 @@ def encode_batch(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]
     h = np.where(first, h * U64(3) + U64(1), h)
 
     def encode(at: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        return flat([encode_one(model, MARK * bool(first[i]) + raw[starts[i] : ends[i]].tobytes().decode().replace(" ", MARK)) for i in at], np.int32)
+        return flat(encode_many(model, [MARK * bool(first[i]) + raw[starts[i] : ends[i]].tobytes().decode().replace(" ", MARK) for i in at]), np.int32)
 
     ids, n = model.cache.lookup(h, encode)
     total = np.concatenate(([0], np.cumsum(n)))
