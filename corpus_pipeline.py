@@ -1,19 +1,41 @@
-"""The corpus pipeline: STAGES applied to ``documents`` in order, each written as Parquet and read again."""
+"""The corpus pipeline: STAGES applied to ``documents`` in order, each written as Parquet and read again.
+
+1. Quality classifier: documents that it rejects go. 2. MinHash near-dedup (five words, similarity 0.8 or more): one
+document of each group stays. 3. Mixing: what is kept is mixed to the target weights of the domain-language-source
+tree; a document that is in several epochs is as many rows. 4. SentencePiece: the ids of each row's text.
+
+All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import mixing, quality, spm
 from tessera.llm.common import Workspace
 from tessera.llm.minhash import drop_near_duplicates
+from tessera.llm.queries import MIX, MIX_EPOCHS, MIX_SEED, tokenizer_file
+
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8 or more) stays."""
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs)
 
 
-STAGES = [("minhash_dedup", near_dedup)]
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs, MIX, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return spm.encode(docs, tokenizer_file("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"))
+
+
+STAGES = [("quality_classifier", quality_classifier), ("minhash_dedup", minhash_dedup), ("source_mix", source_mix), ("sentencepiece", sentencepiece)]
+
+#: SQL can't express the classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -22,4 +44,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = ws.write(stage(spark, docs, sf_dir), f"{k}_{name}")
+        if k:
+            ws.drop(f"{k - 1}_{STAGES[k - 1][0]}")
     return docs

@@ -298,8 +298,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
 def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` (all columns) that stay: one row of each group of near copies.
 
-    Of rows that repeat a kept doc_id one stays, the least by the hash of its columns; rows with a null doc_id stay
-    only if no other row of their group has an id.
+    Of rows that repeat a kept doc_id one stays; of rows with a null doc_id one stays, and only if no other row of its
+    group has an id. The join deals rows out by doc_id, so dropping repeats costs no second shuffle.
     """
     kept = near_duplicates(docs, **params).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
