@@ -8,7 +8,7 @@ first index_k - t + 1; values are ordered by how often sketches hold them (a cou
 keeps very common passages out of the lists. Lists give candidates in two steps: every member against the list's
 first document, which links groups of near copies in linear work (the union of two sketches estimates the overlap and
 drops far pairs, full sets decide); then, for lists whose members are still in different components, blocks of members
-against blocks within the possible size range. Before that, documents too much of which no other one in such lists
+against blocks within the possible size range, but for pairs within the list's largest component. Before that, documents too much of which no other one in such lists
 has are dropped, as they can't link. Blocks carry full sets, built again for those documents only, and give no more
 links than join their components; pairs that don't link are never rows.
 
@@ -172,13 +172,12 @@ def private_counts(sets: DataFrame, column: str) -> DataFrame:
 
 def _block_links(rows: pa.Table, p100: int) -> pa.Table:
     """Links between two blocks of one list, by full sets, as far as they join components that aren't joined yet."""
-    same = rows.num_rows > 0 and rows.column("p")[0].as_py() == rows.column("q")[0].as_py()
-    side = rows.column("side").to_numpy()
-    la = rows.filter(pa.array(side == 0))
-    ra = la if same else rows.filter(pa.array(side == 1))
+    left = rows.column("left").to_numpy(zero_copy_only=False)
+    la, ra = rows.filter(pa.array(left)), rows.filter(pa.array(~left))
     if not la.num_rows or not ra.num_rows:
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     (ca, na, ea, ga), (cb, nb, eb, gb) = ([x.column(c).to_numpy() for c in ("cls", "n", "shared", "comp")] for x in (la, ra))
+    minor = ra.column("minor").to_numpy(zero_copy_only=False)
     names, flat = np.unique(np.concatenate((ga, gb)), return_inverse=True)
     ga, gb = flat[: len(ga)], flat[len(ga) :].copy()
     root = np.arange(len(names))  # of each component
@@ -191,9 +190,7 @@ def _block_links(rows: pa.Table, p100: int) -> pa.Table:
     for i, v in enumerate(la.column("full").to_pylist()):
         # an overlap is at most what each side shares with any set
         most = np.minimum(ea[i], eb)
-        ok = (root[ga[i]] != root[gb]) & ((100 + p100) * most >= p100 * (na[i] + nb))
-        if same:
-            ok[: i + 1] = False
+        ok = (root[ga[i]] != root[gb]) & ((100 + p100) * most >= p100 * (na[i] + nb)) & (~minor | (cb > ca[i]))
         if not ok.any():
             continue
         s = np.frombuffer(v, U64)
@@ -215,7 +212,7 @@ def _open_lists(member: DataFrame) -> DataFrame:
     return member.join(lists, "value")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64, index_k: int = 32, slots_bits: int = 20, block: int = 256, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64, index_k: int = 32, slots_bits: int = 20, block: int = 512, miss: float = 1e-6) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (the document whose id names its component).
 
     Documents link when 100 * |intersection| >= percent * |union| of their shingle sets.
@@ -271,17 +268,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     held = sizes.join(private_counts(full, "full"), "cls", "left").select("cls", (F.col("n") - F.coalesce("private", F.lit(0))).alias("shared"), "n").filter(F.col("shared") * 100 >= F.col("n") * percent)
     member = _open_lists(member.join(ws.write(held.select("cls", "shared"), "held"), "cls"))
     member = ws.write(member.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")), "members")
-    per = member.groupBy("value", "band").agg(F.count("*").alias("m")).select("value", "band", F.ceil(F.col("m") / block).cast("int").alias("subs"))
-    placed = member.join(per, ["value", "band"]).withColumn("sub", F.pmod(F.xxhash64("cls", "n"), F.col("subs").cast("long")).cast("int"))
-    # a block of band g meets those of its band and of the next two (rounding of the logarithm included)
-    spot = per.select("value", "band", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
-    other = spot.select("value", F.col("band").alias("band2"), F.col("sub").alias("sub2"))
-    meet = spot.join(other.withColumn("band", F.explode(F.array(*[F.col("band2") - i for i in range(3)]))), ["value", "band"]).filter("band2 > band or sub2 >= sub")
-    meet = meet.select("value", F.struct("band", "sub").alias("p"), F.struct(F.col("band2").alias("band"), F.col("sub2").alias("sub")).alias("q"))
-    keys = meet.select(F.col("p").alias("at"), "value", "p", "q", F.lit(0).alias("side")).unionByName(meet.filter("p <> q").select(F.col("q").alias("at"), "value", "p", "q", F.lit(1).alias("side")))
-    rows = placed.select("value", F.struct("band", "sub").alias("at"), "cls", "n", "shared", "comp").join(keys, ["value", "at"]).join(full, "cls")
-    blocks = rows.select("value", "p", "q", "side", "cls", "n", "shared", "comp", "full")
-    more = ws.write(blocks.groupBy("value", "p", "q").applyInArrow(lambda rows: _block_links(rows, percent), "a long, b long"), "links2")
+    # the list's largest component is in one already: only pairs with a member of another one matter
+    per_comp = member.groupBy("value", "comp").agg(F.count("*").alias("c"))
+    largest = per_comp.groupBy("value").agg(F.max(F.struct("c", "comp")).alias("x")).select("value", F.col("x.comp").alias("major"))
+    member = ws.write(member.join(largest, "value").withColumn("minor", F.col("comp") != F.col("major")).drop("major"), "placed")
+    per = member.groupBy("value", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("all"), F.ceil(F.count_if("minor") / block).cast("int").alias("minors"))
+
+    def spots(column: str, sub: str) -> DataFrame:
+        return per.filter(F.col(column) > 0).select("value", "band", F.explode(F.sequence(F.lit(0), F.col(column) - 1)).alias(sub))
+
+    # a block of minor members of band g meets the blocks of bands g-2 to g+2 (rounding of the logarithm included)
+    around = spots("all", "q_sub").select("value", F.col("band").alias("q_band"), "q_sub", F.explode(F.array(*[F.col("band") + i for i in range(-2, 3)])).alias("band"))
+    meet = spots("minors", "p_sub").join(around, ["value", "band"]).select("value", F.col("band").alias("p_band"), "p_sub", "q_band", "q_sub")
+    spot = lambda column: F.pmod(F.xxhash64("cls", "n"), F.col(column).cast("long")).cast("int")
+    at = member.join(per, ["value", "band"])
+    cols = ["value", "p_band", "p_sub", "q_band", "q_sub", "left", "cls", "n", "shared", "comp", "minor"]
+    left = at.filter("minor").select("value", F.col("band").alias("p_band"), spot("minors").alias("p_sub"), F.lit(True).alias("left"), "cls", "n", "shared", "comp", "minor").join(meet, ["value", "p_band", "p_sub"])
+    right = at.select("value", F.col("band").alias("q_band"), spot("all").alias("q_sub"), F.lit(False).alias("left"), "cls", "n", "shared", "comp", "minor").join(meet, ["value", "q_band", "q_sub"])
+    blocks = left.select(cols).unionByName(right.select(cols)).join(full, "cls")
+    more = ws.write(blocks.groupBy("value", "p_band", "p_sub", "q_band", "q_sub").applyInArrow(lambda rows: _block_links(rows, percent), "a long, b long"), "links2")
     ws.drop("full2")
     comp = ws.write(connected_components(ws, links.unionByName(more), "cd"), "components")
 
