@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import chat, linkgraph, maxent, mixing, quality, spm, token_files
+from tessera.llm import chat, embed_dedup, linkgraph, maxent, mixing, quality, spm, token_files, topk
 from tessera.llm.minhash import near_duplicates
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -28,6 +29,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op2_inner_product_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(token_files.write_token_files(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2))
 
@@ -66,7 +75,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_token_files, op4_chat_format, op5_source_mix, op6_maxent_score, op7_sentencepiece, op8_quality, op9_minhash_dedup, op10_url_filter)
+    own = (op1_embedding_dedup, op2_inner_product_topk, op3_token_files, op4_chat_format, op5_source_mix, op6_maxent_score, op7_sentencepiece, op8_quality, op9_minhash_dedup, op10_url_filter)
     return {f.__name__: f for f in own}
 
 
@@ -176,5 +185,16 @@ FROM ruled LEFT JOIN score{rounds} USING (host)
 """
 
 
+OP2_SQL = """
+WITH f AS (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], x -> CAST(floor(256 * x) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM f q JOIN f c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op5_source_mix": OP5_SQL, "op10_url_filter": _op10_sql()}
+    return {"op2_inner_product_topk": OP2_SQL, "op4_chat_format": OP4_SQL, "op5_source_mix": OP5_SQL, "op10_url_filter": _op10_sql()}
