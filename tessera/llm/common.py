@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,6 +59,21 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(f):
+    """A batch function whose worker gives memory back when a partition ends; idle workers stay beside the JVM."""
+
+    @functools.wraps(f)
+    def run(*args, **params):
+        try:
+            yield from f(*args, **params)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Workspace, hash_words, mix64, text_slices
+from tessera.llm.common import U64, Workspace, hash_words, mix64, text_slices, tidy
 
 HEADS, SUFFIXES, CLASSES, CONTEXTS = 2048, 4096, 24, 32
 END, START = HEADS + SUFFIXES, HEADS + SUFFIXES + 1  # types
@@ -66,6 +66,7 @@ def _summed(h: np.ndarray, s: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np
     return u, s[first], np.bincount(inv, c, len(u)).astype(np.int64)
 
 
+@tidy
 def _counts(batches: Iterator[pa.RecordBatch], most: int = 400_000) -> Iterator[pa.RecordBatch]:
     """Partial counts of training tokens."""
     held: list[tuple] = []
@@ -109,6 +110,7 @@ class Lookup:
 _ENCODED = "uid long, doc_id long, train boolean, n_tokens long, n_known long, log_sum double, types binary, rare array<long>, times array<int>"
 
 
+@tidy
 def _encoded(batches: Iterator[pa.RecordBatch], lookup) -> Iterator[pa.RecordBatch]:
     """Types of all tokens, the summed logarithm of the known words' counts, and the other words with their counts."""
     known: Lookup = lookup.value
@@ -158,6 +160,7 @@ def context_of(prev: np.ndarray) -> np.ndarray:
     return (mix64(prev.astype(U64) + U64(77)) % U64(CONTEXTS)).astype(np.int64)
 
 
+@tidy
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each type follows each group of types."""
     total = np.zeros(TYPES * CONTEXTS, np.int64)
@@ -224,6 +227,7 @@ def _step(theta: np.ndarray, seen: np.ndarray, adagrad: np.ndarray, rows: np.nda
     seen[u] += n
 
 
+@tidy
 def _trained(batches: Iterator[pa.RecordBatch], weights, classes: np.ndarray, rate: float) -> Iterator[pa.RecordBatch]:
     """Minibatch steps over a share of the texts; the changes of the rows that were met."""
     start, adagrad = weights.value
@@ -243,6 +247,7 @@ def _trained(batches: Iterator[pa.RecordBatch], weights, classes: np.ndarray, ra
     yield pa.RecordBatch.from_arrays(cols, names=["row", "w", "g", *(f"d{c}" for c in range(CLASSES + 1))])
 
 
+@tidy
 def _class_scores(batches: Iterator[pa.RecordBatch], weights, classes: np.ndarray, log_size: np.ndarray) -> Iterator[pa.RecordBatch]:
     theta = weights.value[0]
     for batch in batches:

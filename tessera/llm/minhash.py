@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Workspace, connected_components, hash_words, mix64, ranges, text_slices
+from tessera.llm.common import U64, Workspace, connected_components, hash_words, mix64, ranges, text_slices, tidy
 
 _COEF = mix64(np.arange(1, 257, dtype=np.uint64)) | U64(1)
 _SETS = "doc_id long, cls long, n_shingles long, sketch binary"
@@ -62,6 +62,7 @@ def class_of(s: np.ndarray) -> int:
         return int(mix64(np.array([s.sum(dtype=U64) + x * U64(0x9E3779B97F4A7C15) + U64(len(s))], U64)).view(np.int64)[0])
 
 
+@tidy
 def _document_sets(batches: Iterator[pa.RecordBatch], n: int, k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
@@ -77,6 +78,7 @@ def _document_sets(batches: Iterator[pa.RecordBatch], n: int, k: int) -> Iterato
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "cls", "n_shingles", "sketch"])
 
 
+@tidy
 def _full_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
@@ -106,6 +108,7 @@ def prefix_length(n: int, p100: int, index_k: int, t: int) -> int:
     return max(1, held - min(t, -(-n * p100 // 100)) + 1)
 
 
+@tidy
 def _listed(batches: Iterator[pa.RecordBatch], counts, bits: int, p100: int, index_k: int, t: int) -> Iterator[pa.RecordBatch]:
     table = counts.value
     for batch in batches:
@@ -122,6 +125,7 @@ def _listed(batches: Iterator[pa.RecordBatch], counts, bits: int, p100: int, ind
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(out).view(np.int64))], names=["cls", "n", "value"])
 
 
+@tidy
 def _slots(batches: Iterator[pa.RecordBatch], bits: int, index_k: int) -> Iterator[pa.RecordBatch]:
     """Partial counts of sketch values by slot of the counting table."""
     total = np.zeros(1 << bits, np.int64)
@@ -138,12 +142,14 @@ def overlap_estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
     return np.isin(u, np.intersect1d(a, b, assume_unique=True), assume_unique=True).mean() if len(u) else 0.0
 
 
+@tidy
 def _estimated(batches: Iterator[pa.RecordBatch], k: int, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = [overlap_estimate(np.frombuffer(x, U64), np.frombuffer(y, U64), k) >= least for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
+@tidy
 def _verified(batches: Iterator[pa.RecordBatch], p100: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -154,6 +160,7 @@ def _verified(batches: Iterator[pa.RecordBatch], p100: int) -> Iterator[pa.Recor
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
+@tidy
 def _values(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """A row for each value of each set."""
     for batch in batches:

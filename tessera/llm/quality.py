@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Workspace, hash_segments, hash_words, text_slices
+from tessera.llm.common import Workspace, hash_segments, hash_words, text_slices, tidy
 
 _KIND = np.zeros(256, np.uint8)  # 0: other letters and bytes
 _KIND[ord("A") : ord("Z") + 1] = 1
@@ -98,6 +98,7 @@ def _distinct(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return np.bincount(d[new], minlength=n), top
 
 
+@tidy
 def _stats_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
@@ -218,6 +219,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_stats_rows, "doc_id long, x array<double>")
 
 
+@tidy
 def _scored(batches: Iterator[pa.RecordBatch], model: Quality) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_matrix(batch)))], names=["doc_id", "score"])
@@ -232,6 +234,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **params)
     return out.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
 
 
+@tidy
 def _good(batches: Iterator[pa.RecordBatch], model: Quality, threshold: float, text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(text)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, IdCache, _text_buffers, flat, hash_segments, ranges, text_slices
+from tessera.llm.common import U64, IdCache, flat, hash_segments, ranges, _text_buffers, text_slices, tidy
 
 MARK = "▁"
 SHORT = (2, 1)
@@ -73,7 +73,7 @@ class Model:
         self.pieces = {i: p for p, i in self.ids.items()}
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self.cache = IdCache(np.int32, 600_000)
+        self.cache = IdCache(np.int32, 200_000)
 
     def merged(self, s: str) -> list[str]:
         """The pieces of a short string by the definition: merge the best-scored neighbours, leftmost first."""
@@ -94,7 +94,7 @@ class Model:
         if before < 0:
             ok = self.alone[piece] = self.merged(p) == [p]
             return ok
-        if len(self.pairs) > 500_000:  # saves work only
+        if len(self.pairs) > 400_000:  # saves work only
             self.pairs.clear()
         q = self.pieces[before]
         ok = self.pairs[before << 32 | piece] = self.merged(q + p) == [q, p]
@@ -254,6 +254,7 @@ def decode_batch(model: Model, ids: np.ndarray, counts: np.ndarray) -> list[byte
     return out
 
 
+@tidy
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, digest: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
     model = load(path)
     for batch in batches:

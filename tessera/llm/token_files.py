@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import IdCache, Workspace, flat, hash_words, partitions, text_slices
+from tessera.llm.common import IdCache, Workspace, flat, hash_words, partitions, text_slices, tidy
 
 LENGTH, BATCH = 2048, 128
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -159,6 +159,7 @@ class SequenceReader:
             start, n = start + len(part), n - len(part)
 
 
+@tidy
 def _write_part(batches: Iterator[pa.RecordBatch], root: str, path: str, end_id: int, by_word: bool, length: int, batch: int) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     name = f"part-{part:06d}-{uuid.uuid4().hex[:8]}"
@@ -193,6 +194,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, root: str | N
     return ws.write(rows.mapInArrow(write, "part int, file string, docs long, tokens long"), "manifest")
 
 
+@tidy
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         for file, base in zip(rows.column("file").to_pylist(), rows.column("base").to_pylist(), strict=True):
