@@ -23,6 +23,14 @@ class Wave:
     call: Callable[[np.ndarray], np.ndarray]
     sql: tuple[str, ...]
     grad: Callable[[np.ndarray], np.ndarray] | None = None
+    split: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None  # real and imaginary part, if that is faster
+
+    def parts(self, t: np.ndarray) -> list[np.ndarray]:
+        """The real part and, for a complex wave, the imaginary part."""
+        if self.split:
+            return list(self.split(t))
+        y = self.call(t)
+        return [y.real, y.imag] if self.is_complex else [np.asarray(y, float)]
 
     @property
     def is_complex(self) -> bool:
@@ -56,7 +64,7 @@ def _saw_sql(shift: float, period: float, centred: bool) -> str:
 def complex_exponential(period: float = TWO_PI) -> Wave:
     k = TWO_PI / period
     arg = "{t}" if k == 1 else f"({k!r} * {{t}})"
-    return Wave("complexexponential", lambda t: np.exp(1j * k * t), (f"cos({arg})", f"sin({arg})"), lambda t: 1j * k * np.exp(1j * k * t))
+    return Wave("complexexponential", lambda t: np.exp(1j * k * t), (f"cos({arg})", f"sin({arg})"), lambda t: 1j * k * np.exp(1j * k * t), lambda t: (np.cos(k * t), np.sin(k * t)))
 
 
 def cosine() -> Wave:

@@ -40,7 +40,7 @@ def fit_variances(r: np.ndarray, size: np.ndarray, k: int, start_w: np.ndarray,
         w, s = p[:k], p[k:]
         e = np.exp(-(r[:, None] ** 2) * s / 2)
         d = e @ w - size
-        return float(d @ d), np.concatenate((2 * (e.T @ d), 2 * w * (e * (-(r[:, None] ** 2) / 2)).T @ d))
+        return float(d @ d), np.concatenate((2 * (e.T @ d), -w * ((e * r[:, None] ** 2).T @ d)))
 
     lo = np.concatenate((np.full(k, 1e-5), 5e-4 * start_s))
     hi = np.concatenate((np.ones(k), 2e3 * start_s))

@@ -55,14 +55,15 @@ def _partial_sums(batches: Iterator[pa.RecordBatch], fmap: FeatureMap, cols: lis
         for key, at in parts:
             xs, ws = x[at], None if w is None else w[at]
             for k in range(0, len(xs), step):
-                y = fmap(xs[k : k + step])
-                total = y.sum(0) if ws is None else ws[k : k + step] @ y
-                acc = sums.setdefault(key, [np.zeros(fmap.m, complex), 0, 0.0])
-                acc[0] = acc[0] + total
-                acc[1] += len(y)
-                acc[2] += len(y) if ws is None else float(ws[k : k + step].sum())
+                part, pw = xs[k : k + step], None if ws is None else ws[k : k + step]
+                acc = sums.setdefault(key, [np.zeros((2, fmap.m)), 0, 0.0])
+                for row, y in zip(acc[0], fmap.f.parts(part @ fmap.omega + fmap.xi)):  # noqa: B905  a real wave has one part
+                    row += y.sum(0) if pw is None else pw @ y
+                acc[1] += len(part)
+                acc[2] += len(part) if pw is None else float(pw.sum())
     for key, (z, n, total) in sums.items():
-        columns = [[v] * fmap.m for v in key] + [np.arange(fmap.m, dtype=np.int32), np.ascontiguousarray(z.real), np.ascontiguousarray(z.imag), [n] * fmap.m, [total] * fmap.m]
+        re, im = fmap.c_norm * z
+        columns = [[v] * fmap.m for v in key] + [np.arange(fmap.m, dtype=np.int32), re, im, [n] * fmap.m, [total] * fmap.m]
         yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(i).type) for i, c in enumerate(columns)], schema=schema)
 
 
