@@ -238,8 +238,9 @@ def _trained(batches: Iterator[pa.RecordBatch], weights, classes: np.ndarray, ra
         for k in range(0, len(lists), 32):
             x, before, _ = _histories(lists[k : k + 32])
             rows, y = feature_rows(before), classes[x]
-            for i in range(0, len(y), 4096):
-                _step(theta, seen, adagrad, rows[i : i + 4096], y[i : i + 4096], rate)
+            size = min(max(len(y) // 4, 256), 4096)  # short texts still make several steps
+            for i in range(0, len(y), size):
+                _step(theta, seen, adagrad, rows[i : i + size], y[i : i + size], rate)
     at = np.flatnonzero(seen)
     w = seen[at].astype(np.float64)
     change = (theta[at] - start[at]) * w[:, None]

@@ -63,6 +63,8 @@ def search(q_id: np.ndarray, q: np.ndarray, floor_: np.ndarray, x_id: np.ndarray
         b = slice(a, a + PORTION)
         bound = ql[open_] @ xl[b].T + q_res[open_][:, None] * x_res[b][None, :]
         hit, at = np.nonzero((bound + slack[open_][:, None] >= kth[open_][:, None]) & (x_id[b][None, :] != q_id[open_][:, None]))
+        if not len(hit):
+            continue
         score = np.einsum("ij,ij->i", q[open_[hit]], x[a + at])
         each, since = np.unique(hit, return_index=True)  # hits are in order of queries
         for i, lo, hi in zip(each, since, np.append(since[1:], len(hit)), strict=True):
