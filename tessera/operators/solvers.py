@@ -229,12 +229,11 @@ class Splitting(Pursuit):
         theta, alpha, history = first.theta, first.alpha, [first.cost]
         while len(theta) < self.k:
             theta = self.split(theta)
-            alpha = self.weights(self.atoms.sketch(theta))
+            theta, alpha, cost = self.refine(theta, self.weights(self.atoms.sketch(theta)), self.ftol)
             if len(theta) > self.k:
-                keep = np.sort(np.argsort(-self.weights(self.atoms.sketch(theta), normed=True))[: self.k])
+                keep = np.sort(np.argsort(-self.weights(self.atoms.sketch(theta), normed=True), kind="stable")[: self.k])
                 theta = theta[keep]
-                alpha = self.weights(self.atoms.sketch(theta))
-            theta, alpha, cost = self.refine(theta, alpha, self.ftol)
+                theta, alpha, cost = self.refine(theta, self.weights(self.atoms.sketch(theta)), self.ftol)
             history.append(cost)
         theta, alpha, cost = self.refine(theta, alpha, self.ftol * 0.02)
         return Solution(alpha, theta, cost, tuple(history))
@@ -257,8 +256,16 @@ def kmeans_from_sketch(z, fmap: FeatureMap, k: int, bounds, runs: int = 1, seed:
     return Pursuit(Points(sub, b, factor), z, k).fit_best(runs, seed)
 
 
-def mixture_from_sketch(z, fmap: FeatureMap, k: int, bounds, cov: str = "diag", method: str = "pursuit", runs: int = 1, seed: int = 0, start_variance: float | None = None, dims=None, categories=None) -> tuple[Mixture, Solution]:
-    """A Gaussian mixture by pursuit or by splitting."""
+def mixture_from_sketch(z, fmap: FeatureMap, k: int, bounds, cov: str = "diag", method: str = "pursuit", runs: int = 1, seed: int = 0, start_variance: float | str | None = None, dims=None, categories=None) -> tuple[Mixture, Solution]:
+    """A Gaussian mixture by pursuit or by splitting.
+
+    New components start with ``start_variance``: a number, ``sketch`` (what the envelope of the sketch says), or at
+    random within the bounds.
+    """
+    if start_variance == "sketch":
+        from tessera.operators.scale import variances_from_sketch
+
+        start_variance = float(variances_from_sketch(np.asarray(z), fmap, 1, max(2, min(25, fmap.m // 5)))[1][0])
     solver = {"pursuit": Pursuit, "splitting": Splitting}[method]
     sub, factor = restrict(fmap, dims, bounds, categories)
     b = np.asarray(bounds, float)[:, dims] if dims is not None else bounds
