@@ -306,7 +306,7 @@ def test_language_model_learns(spark):
     """Texts in two invented languages: the class of a word tells much about the next one's."""
     r = random.Random(5)
     words = [["".join(r.choice(a) for _ in range(4)) for _ in range(150)] for a in ("abcde", "vwxyz")]
-    rows = [(i, " ".join(r.choice(words[i % 2]) for _ in range(120))) for i in range(300)]
+    rows = [(i, " ".join(r.choice(words[i % 2]) for _ in range(120))) for i in range(900)]
     out = maxent.score(frame(spark, rows)).toPandas()
     held = out[out.held_out]
     assert (held.score.sum() - held.base_score.sum()) / held.n_tokens.sum() > 0.1
