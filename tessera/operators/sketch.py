@@ -67,14 +67,15 @@ def _partial_sums(batches: Iterator[pa.RecordBatch], fmap: FeatureMap, cols: lis
         yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(i).type) for i, c in enumerate(columns)], schema=schema)
 
 
-def spread(rows: DataFrame, least_bytes: int = 4 << 20) -> DataFrame:
-    """Deal rows over the cores if their input has fewer partitions, as a file of one row group has; else as they are.
+def spread(rows: DataFrame, least_bytes: int = 1 << 20, split_bytes: int = 64 << 20) -> DataFrame:
+    """Deal the narrow rows of a small input over the cores: its files may have fewer row groups than there are cores.
 
-    Large inputs have more partitions than cores and are never shuffled here.
+    Inputs of over ``split_bytes`` per core fill the cores as they are and are never shuffled here; tiny ones aren't
+    worth it.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(cores) if size >= least_bytes and rows.rdd.getNumPartitions() * 2 <= cores else rows
+    return rows.repartition(cores) if least_bytes <= size < cores * split_bytes else rows
 
 
 def _summed(df: DataFrame, fmap: FeatureMap, cols: list[str], vector: str | None, weight: str | None, by: list[str], backend: str) -> DataFrame:
@@ -100,7 +101,8 @@ def catalyst_rows(df: DataFrame, fmap: FeatureMap, cols: list[str], vector: str
     spec = ", ".join(f"named_struct('j', {j}, 'xi', {float(fmap.xi[j])!r}D, {', '.join(f"'w{i}', {float(v)!r}D" for i, v in enumerate(fmap.omega[:, j]))})" for j in range(fmap.m))
     weights = F.col(weight).cast("double") if weight else F.lit(1.0)
     x = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)] if cols else [F.col(vector).cast("array<double>").alias("_v")]
-    rows = df.select(*keep, *x, weights.alias("_w")).withColumn("_f", F.explode(F.expr(f"array({spec})")))
+    rows = df.select(*keep, *x, weights.alias("_w"))
+    rows = (rows if df.isStreaming else spread(rows)).withColumn("_f", F.explode(F.expr(f"array({spec})")))
     value = (lambda i: f"_x{i}") if cols else (lambda i: f"_v[{i}]")
     t = " + ".join([f"{value(i)} * _f.w{i}" for i in range(fmap.d)] + ["_f.xi"])
     rows = rows.select(*keep, F.col("_f.j").alias("j"), F.expr(t).alias("_t"), F.col("_w").alias("fw"))

@@ -335,3 +335,14 @@ def test_stream_equals_batch(spark, tmp_path):
     key = ["start", "j"]
     got, want = (t.toPandas().sort_values(key).reset_index(drop=True) for t in (spark.table("sketches"), windowed_sketch(df, fmap, ["a", "b"], "ts", "1 day")))
     assert len(want) == 36 and np.allclose(got[["re", "im", "n"]], want[["re", "im", "n"]])
+
+
+def test_sessions_end_at_pauses(spark):
+    rows = [("u", "2024-01-01 00:00:00", 0.1), ("u", "2024-01-01 00:05:00", 0.2), ("u", "2024-01-01 02:00:00", 0.3), ("v", "2024-01-01 00:05:00", 0.4)]
+    df = spark.createDataFrame(rows, "k string, ts string, a double").withColumn("ts", F.to_timestamp("ts"))
+    fmap = FeatureMap.of("cosine", OMEGA[:1], XI)
+    from tessera.streaming.sketch import session_sketch
+
+    got = session_sketch(df, fmap, ["a"], "ts", "30 minutes", ["k"]).filter("j = 0").orderBy("k", "start").collect()
+    assert [(r.k, r.n) for r in got] == [("u", 2), ("u", 1), ("v", 1)]
+    assert np.isclose(got[0].re, fmap(np.array([[0.1], [0.2]])).mean(0)[0])
