@@ -48,7 +48,8 @@ def key_of(seed: int, epoch: Column, doc_id: Column) -> Column:
 
 def domain_by_number(source: Column, n: int = 3) -> Column:
     """A domain from a source's name: ``d`` and its trailing number modulo n, or ``d0``."""
-    return F.concat(F.lit("d"), F.coalesce(F.pmod(F.expr("try_cast(nullif(regexp_extract(source, '([0-9]{1,9})$', 1), '') as int)"), F.lit(n)), F.lit(0)).cast("string"))
+    number = F.nullif(F.regexp_extract(source, "([0-9]{1,9})$", 1), F.lit("")).cast("int")
+    return F.concat(F.lit("d"), F.coalesce(F.pmod(number, F.lit(n)), F.lit(0)).cast("string"))
 
 
 def _weight(level: str, names: dict[str, int], other: int) -> Column:
