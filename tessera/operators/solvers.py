@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.functions.density import cholesky
 from tessera.operators.atoms import box_sketch
 from tessera.operators.feature_map import FeatureMap
 from tessera.plans.optim import minimize_bounded, nnls
@@ -139,11 +140,39 @@ class Gaussians(Atoms):
         return Mixture(sol.weights, sol.theta[:, : self.d], np.array(covs))
 
 
+    def parameters(self, mix: Mixture) -> np.ndarray:
+        """The atoms of a mixture, e.g. to start from."""
+        rest = [np.diag(c) if self.cov == "diag" else cholesky(c)[self.rows, self.cols] for c in mix.covs]
+        return np.clip(np.concatenate((mix.means, np.array(rest)), 1), self.lo, self.hi)
+
+
+def feasible(cov: np.ndarray, least: float = 1e-12) -> np.ndarray:
+    """A symmetric matrix with eigenvalues of at least ``least``, by shifting all of them if need be."""
+    cov = (cov + cov.T) / 2
+    low = np.linalg.eigvalsh(cov)[0]
+    return cov if low >= least else cov + (least - low) * np.eye(len(cov))
+
+
+def split_mixture(mix: Mixture) -> Mixture:
+    """Each component as two of half its weight, one standard deviation either way along its leading axis."""
+    steps = []
+    for c in mix.covs:
+        lam, v = np.linalg.eigh(c)
+        steps.append(np.sqrt(max(lam[-1], 0.0)) * v[:, -1])
+    d = np.array(steps)
+    return Mixture(np.concatenate((mix.weights, mix.weights)) / 2, np.vstack((mix.means + d, mix.means - d)), np.concatenate((mix.covs, mix.covs)))
+
+
 class Pursuit:
     """Orthogonal matching pursuit with replacement over a family of atoms."""
 
-    def __init__(self, atoms: Atoms, z: np.ndarray, k: int, ftol: float = 1e-6):
-        self.atoms, self.z, self.k, self.ftol = atoms, np.asarray(z, complex), k, ftol
+    def __init__(self, atoms: Atoms, z: np.ndarray | None, k: int, ftol: float = 1e-6):
+        """``z`` may be None until ``with_sketch`` gives it."""
+        self.atoms, self.z, self.k, self.ftol = atoms, None if z is None else np.asarray(z, complex), k, ftol
+
+    def with_sketch(self, z: np.ndarray, weight: float = 1.0) -> Pursuit:
+        """The same solver for another sketch, times a weight (e.g. to undo another scale of its features)."""
+        return type(self)(self.atoms, weight * np.asarray(z), self.k, self.ftol)
 
     def best_atom(self, residual: np.ndarray, start: np.ndarray) -> np.ndarray:
         """The parameters that maximise the correlation of a normed atom with the residual, from a start."""
@@ -180,6 +209,8 @@ class Pursuit:
 
     def fit(self, seed: int = 0, iterations: int | None = None, tries: int = 3, start: Solution | None = None) -> Solution:
         """2k rounds: add an atom, drop the weakest beyond k, set weights, refine; then a finer refinement."""
+        if self.z is None:
+            raise ValueError("there is no sketch yet")
         rng = np.random.default_rng(seed)
         theta = start.theta if start else np.zeros((0, self.atoms.size))
         residual = self.z - (self.atoms.sketch(theta) @ start.alpha if start else 0)

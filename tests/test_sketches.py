@@ -346,3 +346,35 @@ def test_sessions_end_at_pauses(spark):
     got = session_sketch(df, fmap, ["a"], "ts", "30 minutes", ["k"]).filter("j = 0").orderBy("k", "start").collect()
     assert [(r.k, r.n) for r in got] == [("u", 2), ("u", 1), ("v", 1)]
     assert np.isclose(got[0].re, fmap(np.array([[0.1], [0.2]])).mean(0)[0])
+
+
+def test_mixture_conversions():
+    mix = Mixture(np.array([0.4, 0.6]), TRUE[:2], np.array([[[0.04, 0.01], [0.01, 0.02]], [[0.03, 0.0], [0.0, 0.05]]]))
+    two = solvers.split_mixture(mix)
+    assert two.k == 4 and np.allclose(two.weights.sum(), 1) and np.allclose(two.means[:2] + two.means[2:], 2 * mix.means)
+    fmap = FeatureMap.of("ComplexExponential", OMEGA, XI)
+    family = solvers.Gaussians(fmap, BOUNDS, "full")
+    assert np.allclose(family.sketch(family.parameters(mix)).T, [atoms.gaussian_sketch(mix.means[k], mix.covs[k], OMEGA, XI) for k in (0, 1)])
+    z = atoms.mixture_sketch(mix, fmap)
+    solver = solvers.Pursuit(family, None, 2)
+    with pytest.raises(ValueError):
+        solver.fit()
+    start = solvers.Solution(mix.weights, family.parameters(mix), 0.0)
+    again = family.mixture(solver.with_sketch(2 * z, 0.5).fit(seed=1, iterations=0, start=start))
+    assert np.allclose(again.means, mix.means, atol=1e-3) and np.allclose(again.covs, mix.covs, atol=1e-3)
+    assert np.linalg.eigvalsh(solvers.feasible(np.array([[1.0, 2.0], [2.0, 1.0]])))[0] > 0
+
+
+def test_sketches_can_be_kept(spark, frame, tmp_path):
+    from tessera.sources import tables
+
+    frame.write.parquet(str(tmp_path / "t"))
+    df = tables.read_features(spark, str(tmp_path / "t"), {"x": "a / 2", "y": "b"}, ("g",))
+    assert np.allclose(tables.bounds(df, ["x", "y"]), np.stack((DATA.min(0), DATA.max(0))) / [2, 1])
+    fmap = FeatureMap.of("sawtooth_complex", OMEGA, XI, "unit")
+    s = sketch(df, fmap, ["x", "y"], by=["g"])
+    tables.write_sketch(s, fmap, str(tmp_path / "s"))
+    back, same = tables.read_sketch(spark, str(tmp_path / "s"))
+    assert np.allclose(same(DATA[0]), fmap(DATA[0])) and np.allclose(vec(back.filter("g = 'u'")), fmap(DATA[::2] / [2, 1]).mean(0))
+    with pytest.raises(ValueError):
+        tables.write_sketch(s, fmap.with_wave(np.cos), str(tmp_path / "u"))
