@@ -195,8 +195,11 @@ def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.drop_columns(["v"]).append_column("u", pa.array([r.tobytes() for r in _unit(batch)], pa.binary()))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, target: float = 0.99, sample: int = 20_000, per_cell: int = 48, seed: int = 5) -> DataFrame:
-    """Per vector: vec_id, n_links, component_id, kept. Pairs with cosine at or above ``threshold`` link."""
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, target: float = 0.99, sample: int = 20_000, per_cell: int = 48, most_codewords: int = 96, seed: int = 5) -> DataFrame:
+    """Per vector: vec_id, n_links, component_id, kept. Pairs with cosine at or above ``threshold`` link.
+
+    The driver holds the grid, at most ``most_codewords`` squared cells, and which cells meet; beyond it cells grow.
+    """
     spark = vectors.sparkSession
     ws = Workspace(spark, "imi")
     rows = usable(vectors)
@@ -206,7 +209,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, target: float =
     n = nodes.count()
     if n:
         some = nodes.select("v").orderBy(F.xxhash64("key", F.lit(seed))).limit(sample).toArrow().combine_chunks()
-        k = int(np.clip(np.sqrt(n / per_cell), 4, 256))
+        k = int(np.clip(np.sqrt(n / per_cell), 4, most_codewords))
         index = MultiIndex(_unit(some.to_batches()[0]) if some.num_rows else np.zeros((0, 2)), k, threshold, target, seed)
         celled = ws.write(nodes.mapInArrow(partial(_celled, index=index), "key long, m long, vec_id long, v array<double>, cell int"), "celled")
         width = len(index.books[1])
