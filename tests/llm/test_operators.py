@@ -115,7 +115,11 @@ def brute_links(vectors, threshold):
     return [(ids[i], sum(hit[i]), least[int(label[i])] if unit[i] is not None else ids[i]) for i in range(n)]
 
 
-def test_embedding_dedup(spark):
+@pytest.mark.parametrize("block", [None, 7])
+def test_embedding_dedup(spark, monkeypatch, block):
+    if block:  # many blocks for each region
+        monkeypatch.setattr(embed_dedup, "OWN", block)
+        monkeypatch.setattr(embed_dedup, "MET", 2 * block)
     rng = np.random.default_rng(1)
     base = rng.standard_normal((30, 8))
     rows = [(i, v.tolist()) for i, v in enumerate(base)]
@@ -394,6 +398,19 @@ def test_minhash(spark, corpus, words, percent):
     assert key({r.doc_id for r in stay.collect()}) == key({i for i, _, c in want if i == c}) and stay.count() == len({i for i, _, c in want if i == c})
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_minhash_families_of_near_copies(spark, seed):
+    """Families whose members link only in part, without their original."""
+    r = random.Random(seed)
+    rows = []
+    for f in range(6):
+        base = prose(r.randint(30, 160), 7000 + 10 * seed + f)
+        rows += [(1000 * f + i, edited(base, r.choice([9, 14, 25, 40, 70]), 100 * f + i)) for i in range(14)]
+    rows += [(9000 + i, " ".join(prose(r.randint(1, 12), i).split())) for i in range(30)]
+    got = minhash.near_duplicates(frame(spark, rows), words=3, percent=85, block=r.choice([1, 3, 512])).collect()
+    assert key((r.doc_id, r.n_shingles, r.component_id) for r in got) == key(brute_components(rows, 3, 85))
+
+
 def test_minhash_small_tables(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     rows = [(1, "a b c"), (2, None), (3, "A  b\tc")]
