@@ -311,8 +311,9 @@ def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` (all columns) that stay: one row of each group of near copies.
 
     Of rows that repeat a kept doc_id one stays; of rows with a null doc_id one stays, and only if no other row of its
-    group has an id. The join deals rows out by doc_id, so dropping repeats costs no second shuffle.
+    group has an id. The join deals rows out by the id, which dropping repeats needs as well: texts are shuffled once.
     """
-    kept = near_duplicates(docs, **params).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))  # one for null, too
+    kept = near_duplicates(docs, **params).filter("kept").select(key.alias("_kept_key")).distinct()
+    out = docs.withColumn("_kept_key", key).join(kept, "_kept_key", "left_semi")
+    return out.dropDuplicates(["_kept_key"]).drop("_kept_key")
