@@ -145,11 +145,12 @@ def stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def _block_links(rows: pa.Table, partners: dict[int, list[int]], threshold: float) -> pa.Table:
+def _block_links(rows: pa.Table, partners: dict[int, list[int]], threshold: float, dtype) -> pa.Table:
     own = rows.column("own").to_numpy(zero_copy_only=False)
     rows = rows.append_column("at", pa.array(np.arange(rows.num_rows)))
     key, m, cell = (rows.column(c).to_numpy() for c in ("key", "m", "cell"))
-    x = np.stack([np.frombuffer(v, np.float64) for v in rows.column("u").to_pylist()]) if rows.num_rows else np.zeros((0, 1))
+    x = np.stack([np.frombuffer(v, dtype) for v in rows.column("x").to_pylist()]).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
     left = np.flatnonzero(own)
     right = np.flatnonzero(~own)
     right = right[np.argsort(cell[right], kind="stable")]
@@ -189,10 +190,12 @@ def _block_links(rows: pa.Table, partners: dict[int, list[int]], threshold: floa
     )
 
 
-def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], dtype) -> Iterator[pa.RecordBatch]:
+    """Vectors as bytes, in the type of the column: single precision goes through the shuffle as such."""
     for batch in batches:
         if batch.num_rows:
-            yield batch.drop_columns(["v"]).append_column("u", pa.array([r.tobytes() for r in _unit(batch)], pa.binary()))
+            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(batch.num_rows, -1)
+            yield batch.drop_columns(["v"]).append_column("x", pa.array([r.tobytes() for r in x], pa.binary()))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, target: float = 0.99, sample: int = 20_000, per_cell: int = 48, most_codewords: int = 96, seed: int = 5) -> DataFrame:
@@ -226,15 +229,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, target: float =
         met_blocks = {g: max(1, -(-sum(sizes[c] for c in cs) // MET)) for g, cs in meets.items()}
         plan = [(c, g, own_blocks[g], met_blocks[g], c // width == g, c in cs) for g, cs in meets.items() for c in {*cs, *(x for x in sizes if x // width == g)}]
         plan_df = spark.createDataFrame(plan, "cell int, g int, ob int, mb int, mine boolean, met boolean")
-        unit = celled.select("key", "m", "v", "cell").mapInArrow(_scaled, "key long, m long, cell int, u binary")
-        placed = unit.join(plan_df, "cell")
+        dtype = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64
+        packed = celled.select("key", "m", "v", "cell").mapInArrow(partial(_packed, dtype=dtype), "key long, m long, cell int, x binary")
+        placed = packed.join(plan_df, "cell")
         spread = lambda c, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(c).cast("long")).cast("int")
         mine = placed.filter("mine").withColumn("o", spread("ob", 1)).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).withColumn("own", F.lit(True))
         met = placed.filter("met").withColumn("t", spread("mb", 2)).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("ob") - 1))).withColumn("own", F.lit(False))
-        cols = ["g", "o", "t", "own", "key", "m", "cell", "u"]
+        cols = ["g", "o", "t", "own", "key", "m", "cell", "x"]
         shared = spark.sparkContext.broadcast(partners)
         work = mine.select(cols).unionByName(met.select(cols)).groupBy("g", "o", "t")
-        found = ws.write(work.applyInArrow(lambda rows: _block_links(rows, shared.value, threshold), "a long, b long, n long"), "found")
+        found = ws.write(work.applyInArrow(lambda rows: _block_links(rows, shared.value, threshold, dtype), "a long, b long, n long"), "found")
         links = found.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
         comp = connected_components(ws, found.filter("b is not null").select("a", "b"), "cc").withColumnRenamed("node", "key")
         named = nodes.select("key", "m", "vec_id").join(comp, "key", "left").withColumn("component", F.coalesce("component", "key"))
