@@ -147,7 +147,6 @@ def stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def _block_links(rows: pa.Table, partners: dict[int, list[int]], threshold: float, dtype) -> pa.Table:
     own = rows.column("own").to_numpy(zero_copy_only=False)
-    rows = rows.append_column("at", pa.array(np.arange(rows.num_rows)))
     key, m, cell = (rows.column(c).to_numpy() for c in ("key", "m", "cell"))
     x = np.stack([np.frombuffer(v, dtype) for v in rows.column("x").to_pylist()]).astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
