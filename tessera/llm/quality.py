@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Workspace, hash_segments, hash_words, text_slices, tidy
+from tessera.llm.common import Workspace, _text_buffers, hash_segments, hash_words, text_slices, tidy
 
 _KIND = np.zeros(256, np.uint8)  # 0: other letters and bytes
 _KIND[ord("A") : ord("Z") + 1] = 1
@@ -42,8 +42,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     """One row of N_STATS numbers per text."""
     words = hash_words(texts)
     n = len(texts)
-    offs = np.concatenate(([0], np.cumsum(np.fromiter((0 if x is None else x for x in _lengths(texts)), np.int64, n))))
-    raw = _bytes_of(texts)
+    raw, offs = _text_buffers(texts)
     size = np.maximum(np.diff(offs), 1).astype(float)
 
     def per_text(mask: np.ndarray) -> np.ndarray:
@@ -73,18 +72,6 @@ def statistics(texts: pa.Array) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def _lengths(texts: pa.Array):
-    import pyarrow.compute as pc
-
-    return pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
-
-
-def _bytes_of(texts: pa.Array) -> np.ndarray:
-    from tessera.llm.common import _text_buffers
-
-    return _text_buffers(texts)[0]
-
-
 def _distinct(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes per text, and how often the most frequent one occurs."""
     if not len(h):
