@@ -26,8 +26,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.common import U64, Workspace, connected_components, hash_words, mix64, ranges, text_slices, tidy
 
@@ -219,11 +221,8 @@ def _open_lists(member: DataFrame) -> DataFrame:
     return member.join(lists, "value")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64, index_k: int = 32, slots_bits: int = 20, block: int = 512, miss: float = 1e-6) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept (the document whose id names its component).
-
-    Documents link when 100 * |intersection| >= percent * |union| of their shingle sets.
-    """
+def _classes(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64, index_k: int = 32, slots_bits: int = 20, block: int = 512, miss: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, cls, n_shingles; cls null without shingles), and the classes of equal sets (cls, the least doc_id, component)."""
     spark = docs.sparkSession
     ws = Workspace(spark, "minhash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -297,23 +296,69 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     ws.drop("full2")
     comp = ws.write(connected_components(ws, links.unionByName(more), "cd"), "components")
 
+    ws.drop("lists", "shared", "open")
+    names = first.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    return sets.select("doc_id", "cls", "n_shingles"), names
+
+
+def near_duplicates(docs: DataFrame, **params) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept (the document whose id names its component).
+
+    Documents link when 100 * |intersection| >= percent * |union| of their shingle sets. ``params`` as in ``_classes``.
+    """
+    sets, names = _classes(docs, **params)
     # class -> least doc_id of its component -> documents
-    names = reps.select("cls", "doc_id").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = names.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    names = names.join(least, "component").select("cls", "component_id")
-    out = sets.select("doc_id", "cls", "n_shingles").join(names, "cls", "left")
+    out = sets.join(names.join(least, "component").select("cls", "component_id"), "cls", "left")
     out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    ws.drop("lists", "shared", "open")
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` (all columns) that stay: one row of each group of near copies.
+_ID, _NO_ID, _NO_SET = 0, 1, 2  # kinds of rows
+
+
+@tidy
+def _row_keys(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Rows with a key: class, id (0 for null) and kind; for rows without shingles a number of their own, id and kind.
 
-    Of rows that repeat a kept doc_id one stays; of rows with a null doc_id one stays, and only if no other row of its
-    group has an id. The join deals rows out by the id, which dropping repeats needs as well: texts are shuffled once.
+    Of rows with one key a batch gives one, so that many copies with one id, or none, don't meet in one task.
+    """
+    row = TaskContext.get().partitionId() << 36
+    for batch in batches:
+        texts = batch.column("_text")
+        cls = np.arange(row, row + len(texts))
+        row += len(texts)
+        ids = batch.column("_id")
+        kind = np.where(ids.is_null().to_numpy(zero_copy_only=False), _NO_ID, _ID)
+        for a, b in text_slices(texts):
+            w = hash_words(texts.slice(a, b - a))
+            windows = shingle_windows(w, n)
+            for d in range(b - a):
+                s = shingle_hashes(w, n, d, windows)
+                if len(s):
+                    cls[a + d] = class_of(s)
+                else:
+                    kind[a + d] = _NO_SET
+        key = np.stack((cls, ids.fill_null(0).to_numpy(), kind), 1)
+        at = np.sort(np.unique(key, axis=0, return_index=True)[1])
+        key = key[at]
+        out = batch.drop_columns(["_text", "_id"]).take(pa.array(at))
+        yield pa.RecordBatch.from_arrays([*out.columns, *(pa.array(key[:, j]) for j in range(3))], names=[*out.schema.names, "_cls", "_id", "_kind"])
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, **params) -> DataFrame:
+    """The rows of ``docs`` (all columns) that stay: one row of each component, and every row without shingles.
+
+    The row is one with the least doc_id of its component (without ids, one of the least class); among rows with the
+    same id and shingle set any. Rows are told apart by class and id, never by id alone. The join deals rows out by
+    the key that dropping repeats needs as well: texts are shuffled once.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))  # one for null, too
-    kept = near_duplicates(docs, **params).filter("kept").select(key.alias("_kept_key")).distinct()
-    out = docs.withColumn("_kept_key", key).join(kept, "_kept_key", "left_semi")
-    return out.dropDuplicates(["_kept_key"]).drop("_kept_key")
+    _, names = _classes(docs, words=words, **params)
+    best = names.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("x"))
+    kind = F.when(F.col("x.none"), F.lit(_NO_ID)).otherwise(F.lit(_ID)).cast("long")
+    best = best.select(F.col("x.cls").alias("_cls"), F.coalesce("x.doc_id", F.lit(0)).cast("long").alias("_id"), kind.alias("_kind"), F.lit(True).alias("_best"))
+    key = ["_cls", "_id", "_kind"]
+    schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in key)])
+    rows = docs.select("*", F.col("text").cast("string").alias("_text"), F.col("doc_id").cast("long").alias("_id")).mapInArrow(partial(_row_keys, n=words), schema)
+    out = rows.join(best, key, "left").filter((F.col("_kind") == _NO_SET) | F.col("_best"))
+    return out.dropDuplicates(key).select(docs.columns)

@@ -429,6 +429,15 @@ def test_minhash_chain_of_near_copies(spark):
     assert key((r.doc_id, r.n_shingles, r.component_id) for r in got) == key(want) and {c for _, _, c in want} == {0}
 
 
+def test_dropping_near_duplicates_goes_by_row_not_by_id(spark):
+    """Rows with null or repeated ids: one of each component stays, and each row without shingles."""
+    a, b = prose(40, 1), prose(40, 2)
+    rows = [(5, a), (5, b), (3, b), *[(None, prose(30, 10 + i)) for i in range(6)], (None, prose(30, 10)), (None, b), (None, None), (None, ""), (8, None), (8, " ")]
+    stay = minhash.drop_near_duplicates(frame(spark, rows).repartition(3)).collect()
+    want = [(5, a), (3, b), *[(None, prose(30, 10 + i)) for i in range(6)], (None, None), (None, ""), (8, None), (8, " ")]
+    assert key((r.doc_id, r.text) for r in stay) == key(want)
+
+
 def test_minhash_bounds():
     for p in (0.8, 0.85):
         t = minhash.least_shared(p, 32, 1e-6)
