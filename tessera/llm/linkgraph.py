@@ -3,7 +3,9 @@
 Hosts with allowed pages are trusted seeds, hosts with blocked pages are distrusted ones, each in proportion to the
 number of such pages. Personalised PageRank carries trust along links and distrust against them (a host that links to
 blocked ones is distrusted). A host is blocked when its distrust is over ``threshold`` percent of both together.
-Scores are integers (billionths of the whole), so the result doesn't depend on the order of sums.
+Scores are integers (billionths of a page, compared as shares of all trusted and distrusted pages), so the result
+doesn't depend on the order of sums or, for the same links, on the table's size. Every step rounds up: what reaches a
+host is never 0, however far away or diluted. Scores grow from 0 until none changes.
 
 Everything is DataFrame operations. Links of a page to its own host carry nothing and are dropped before any shuffle;
 links are counted per pair of hosts first.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Workspace
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WHOLE = 10**9
+PAGE = 10**9  # the score of one page
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s>]*)"""
 
@@ -52,31 +54,34 @@ def host_links(pages: DataFrame) -> DataFrame:
     return away.filter(F.size("all") > 0).select("src", F.explode("all").alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
-def propagate(ws: Workspace, seeds: DataFrame, links: DataFrame, damping: int = 85, rounds: int = 12) -> DataFrame:
-    """host, trust, distrust after at most ``rounds`` rounds. ``seeds`` has host, trust, distrust in billionths."""
+def propagate(ws: Workspace, seeds: DataFrame, links: DataFrame, damping: int = 85) -> DataFrame:
+    """host, trust, distrust when nothing changes any more. ``seeds`` has host, trust, distrust in billionths of a page.
+
+    Scores start at 0, so that they only grow and the rounds end. Products are decimals of 38 digits.
+    """
     out_w = links.groupBy("src").agg(F.sum("w").alias("out_w"))
     in_w = links.groupBy("dst").agg(F.sum("w").alias("in_w"))
     links = ws.write(links.join(out_w, "src").join(in_w, "dst"), "links")
     named = links.select(F.col("src").alias("host")).unionByName(links.select(F.col("dst").alias("host"))).distinct()
     seeds = ws.write(seeds.join(named, "host", "full").select("host", F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust")), "seeds")
-    now = seeds
-    for k in range(rounds):
-        forth = links.join(now.select(F.col("host").alias("src"), "trust"), "src").select(F.col("dst").alias("host"), F.expr("trust * w div out_w").alias("t"), F.lit(0).cast("long").alias("d"))
-        back = links.join(now.select(F.col("host").alias("dst"), "distrust"), "dst").select(F.col("src").alias("host"), F.lit(0).cast("long").alias("t"), F.expr("distrust * w div in_w").alias("d"))
+    wide = lambda x: f"cast({x} as decimal(20,0))"
+    now, k = seeds.select("host", F.lit(0).cast("long").alias("trust"), F.lit(0).cast("long").alias("distrust")), 0
+    while True:
+        forth = links.join(now.select(F.col("host").alias("src"), "trust"), "src").select(F.col("dst").alias("host"), F.expr(f"({wide('trust')} * w + out_w - 1) div out_w").alias("t"), F.lit(0).cast("long").alias("d"))
+        back = links.join(now.select(F.col("host").alias("dst"), "distrust"), "dst").select(F.col("src").alias("host"), F.lit(0).cast("long").alias("t"), F.expr(f"({wide('distrust')} * w + in_w - 1) div in_w").alias("d"))
         got = forth.unionByName(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        step = seeds.join(got, "host", "left").select("host", *[F.expr(f"({100 - damping} * {s} + {damping} * coalesce({x}, 0)) div 100").alias(s) for s, x in (("trust", "t"), ("distrust", "d"))])
+        was = now.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
+        step = seeds.join(got, "host", "left").select("host", *[F.expr(f"({100 - damping} * {wide(s)} + {damping} * {wide(f'coalesce({x}, 0)')} + 99) div 100").alias(s) for s, x in (("trust", "t"), ("distrust", "d"))])
         new = ws.write(step, f"round{k}")
-        before = now.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
-        still = new.join(before, "host").filter("trust <> t0 or distrust <> d0").isEmpty()
+        still = new.join(was, "host").filter("trust <> t0 or distrust <> d0").isEmpty()
         if k:
             ws.drop(f"round{k - 1}")
-        now = new
+        now, k = new, k + 1
         if still:
-            break
-    return now
+            return now
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], damping: int = 85, rounds: int = 12, threshold: int = 50) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], damping: int = 85, threshold: int = 50) -> DataFrame:
     """Per page: page_id, host, path, rule (null if none fits), verdict (allow or block)."""
     ws = Workspace(pages.sparkSession, "links")
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -86,7 +91,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], damping: int = 85, rou
     ruled = ws.write(ruled, "ruled")
     per_host = ws.write(ruled.groupBy("host").agg(F.count_if(F.col("verdict") == "allow").alias("a"), F.count_if(F.col("verdict") == "block").alias("b")), "hosts")
     total = per_host.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
-    seeds = per_host.select("host", *[F.expr(f"cast({c} as decimal(20,0)) * {WHOLE} div {max(total[c], 1)}").cast("long").alias(s) for c, s in (("a", "trust"), ("b", "distrust"))])
-    scores = propagate(ws, seeds, links, damping, rounds)
-    verdicts = scores.select("host", F.when(F.col("distrust") * (100 - threshold) > F.col("trust") * threshold, "block").otherwise("allow").alias("by_host"))
+    seeds = per_host.select("host", (F.col("a") * PAGE).alias("trust"), (F.col("b") * PAGE).alias("distrust"))
+    scores = propagate(ws, seeds, links, damping)
+    share = lambda s, of, by: f"cast({s} as decimal(20,0)) * {max(total[of], 1) * by}"
+    verdicts = scores.select("host", F.when(F.expr(f"{share('distrust', 'a', 100 - threshold)} > {share('trust', 'b', threshold)}"), "block").otherwise("allow").alias("by_host"))
     return ruled.join(verdicts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "by_host", F.lit("allow")).alias("verdict"))

@@ -498,6 +498,17 @@ def test_url_filter(spark):
     assert linkgraph.judge(df.filter("page_id > 99"), q.RULES).count() == 0 and linkgraph.judge(df, []).count() == len(pages)
 
 
+def test_url_filter_is_not_cut_by_resolution_or_rounds(spark):
+    """Distrust arrives through 16 hosts and by one link of 20,000, whatever else the table holds."""
+    ws = Workspace(spark, "far")
+    chain = [(f"h{i}", f"h{i + 1}", 1) for i in range(16)]
+    fan = [("rest", f"h{i + 1}", 19_999) for i in (2, 5, 8)]
+    links = spark.createDataFrame(chain + fan, "src string, dst string, w long")
+    seeds = spark.createDataFrame([("h16", 0, 10**9), ("z", 10**9, 0)], "host string, trust long, distrust long")
+    got = {r.host: (r.trust, r.distrust) for r in linkgraph.propagate(ws, seeds, links, damping=30).collect()}
+    assert all(got[f"h{i}"][0] == 0 and got[f"h{i}"][1] > 0 for i in range(17)) and got["z"] == (10**9 * 70 // 100, 0)
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
