@@ -37,3 +37,12 @@ def test_entry_imports_without_the_subpackage(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'sketch_fourier' in e.queries() and set(e.oracle_sql()) <= set(e.queries()) and not [n for n in e.queries() if n.startswith('op')]"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_em_and_divergence_run_with_the_operators_own_settings(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(core.mixtures, "em", lambda df, k, cols, rounds=20, runs=1, seed=0: seen.append(rounds) or (core.MIX2, 0.0))
+    monkeypatch.setattr(core.mixtures, "symmetric_kl", lambda spark, p, q, n=500_000, seed=0: seen.append(n) or 0.0)
+    core.queries()["em_gmm"](spark, SF)
+    core.queries()["symm_kl"](spark, SF)
+    assert seen == [20, 500_000, 500_000]
