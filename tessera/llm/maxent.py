@@ -1,29 +1,38 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-A text is its words (A-Z in lower case) and one end. Every word has a type: its own, if it is among the most frequent
-``HEADS`` words, else one by the hash of its last three bytes. Types are grouped into classes by the words that
-precede them (a table of fixed size, summed over the training texts; k-means). Then
-
-    p(word | history) = p(class(word) | history) * (c(word) + 0.1) / (N_class + 0.1 * (V_class + 1))
-
-where c counts training tokens, N_class and V_class are tokens and distinct words of the class, and each class has one
-unseen word, so that the probabilities add up to 1. p(class | history) is a softmax over sums of weights of hashed
-features: a bias, the last type, the last two, the one before the last (a skip), and the last with the third last
-(a skip). It is trained by distributed gradient updates: in each round every task runs minibatch steps from the same
-weights over its share of the training texts (rounds share them out, so that each text is used once), and the changes
-are averaged by row of the weight table. Scoring runs over sparse batches in numpy.
+A text is its words (A-Z in lower case) and one end. Every word has a type: its own, if it is among the heads (words
+with ``HEAD_LEAST`` training tokens or more, the ``HEADS_MOST`` most frequent of them), else one by the hash of its
+last three bytes. Types are grouped into classes by the words that precede them (a table summed over the training
+texts; k-means), and each class into ``WIDTH`` cells: its most frequent types have a cell each, the others share
+``SHARED`` cells. Then
+
+    p(word | history) = p(class | history) * p(cell | class, history) * (c(word) + 0.1) / (N_cell + 0.1 * (V_cell + 1))
+
+where c counts training tokens, N_cell and V_cell are tokens and distinct words of the cell, and each cell has one
+unseen word, so that the probabilities add up to 1. Both factors are softmaxes over sums of weights of hashed features:
+a bias, the last type, the last two, and the one before the last (a skip); those of the second factor also hold the
+class. Biases start at the counts, so the untrained model is the smoothed unigram one.
+
+Training is by distributed gradient updates. Training texts are dealt to shards by a hash of doc_id and words; a shard
+has about ``shard_tokens`` tokens, whatever the size of the corpus, and shards are dealt to ``rounds`` rounds, so each
+text is used once. In a round each shard runs minibatch steps (AdaGrad) from the same weights over its texts in the
+order of their hashes, and weights and step sizes are averaged by row, weighted by the tokens that met the row. Nothing
+depends on partitions, and a round makes as many steps on a large corpus as on a small one. Weight rows grow with the
+training tokens (a row per feature kind and about 128 tokens) up to ``bits_most``: weights are broadcast, 25 MB then.
 
 Counts of the most frequent words, a bounded number, go to the tasks; the rest of the occurrences meet their counts in
-a join, where no key is frequent. The rest of what is broadcast has a fixed size.
+a join, where no key is frequent.
 
 Defined results: null text is the empty text, whose only token is the end. Repeated rows count as often as they
-occur and give a row each. A null doc_id is held out. Without training texts c, N and V are 0. Other columns are
-ignored; an empty table gives no rows.
+occur and give a row each. A null doc_id is held out. Without training texts c, N and V are 0. A very long text is a
+row of ids like others, trained and scored in portions. Other columns, whatever their names, are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from functools import partial
 
 import numpy as np
@@ -32,13 +41,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Workspace, hash_words, mix64, text_slices, tidy
+from tessera.llm.common import U64, Workspace, hash_words, mix64, partitions, text_slices, tidy
 
-HEADS, SUFFIXES, CLASSES, CONTEXTS = 2048, 4096, 24, 32
-END, START = HEADS + SUFFIXES, HEADS + SUFFIXES + 1  # types
-TYPES = HEADS + SUFFIXES + 2
+HEADS_MOST, HEAD_LEAST, SUFFIXES, CONTEXTS = 8192, 16, 4096, 32
+END, START, TYPES = SUFFIXES, SUFFIXES + 1, SUFFIXES + 2 + HEADS_MOST  # types: by suffix, the end, the start, heads
+WIDTH, SHARED = 32, 8  # classes (the last is the end's), cells of each; the cells that several types share
+KINDS = 3  # of hashed features
 KNOWN = 200_000  # words whose counts are broadcast
-ROWS = 1 << 14  # of the weight table
+RATE = 0.25  # of the gradient steps
+PORTION = 1 << 18  # tokens whose features are formed at once
 END_HASH = np.array([0x0E4D_0E4D_0E4D_0E4D], U64)
 
 
@@ -48,7 +59,7 @@ def learned(doc_id: Column) -> Column:
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and suffix type (without HEADS) of every token, ends included, and where each text starts."""
+    """Hash and suffix type of every token, ends included, and where each text starts."""
     w = hash_words(texts)
     sfx = np.zeros(len(w.hashes), np.int64)
     if len(sfx):
@@ -107,7 +118,7 @@ class Lookup:
         return np.where(self.h[at] == h, at, -1)
 
 
-_ENCODED = "uid long, doc_id long, train boolean, n_tokens long, n_known long, log_sum double, types binary, rare array<long>, times array<int>"
+_ENCODED = "uid long, doc_id long, train boolean, key long, n_tokens long, n_known long, log_sum double, types binary, rare array<long>, times array<int>"
 
 
 @tidy
@@ -123,9 +134,10 @@ def _encoded(batches: Iterator[pa.RecordBatch], lookup) -> Iterator[pa.RecordBat
             at = known.find(u)[inv]
             is_known = at >= 0
             head = np.where(is_known, known.head[at] if len(known.h) else -1, -1)
-            types = np.where(s < 0, END, np.where(head >= 0, head, HEADS + s)).astype(np.uint16)
+            types = np.where(s < 0, END, np.where(head >= 0, START + 1 + head, s)).astype(np.uint16)
             logs = np.where(is_known, np.log10((known.c[at] if len(known.h) else 0) + 0.1), 0.0)
             doc = np.repeat(np.arange(b - a), np.diff(ptr))
+            key = mix64(np.add.reduceat(h * (np.arange(len(h)) - ptr[doc] + 1).astype(U64), ptr[:-1])).view(np.int64)  # of a text's words in order
             cols = {"log_sum": np.bincount(doc, logs, b - a), "n_known": np.bincount(doc, is_known, b - a).astype(np.int64)}
             r, rd = h[~is_known], doc[~is_known]
             order = np.lexsort((r, rd))
@@ -135,11 +147,11 @@ def _encoded(batches: Iterator[pa.RecordBatch], lookup) -> Iterator[pa.RecordBat
             n = b - a
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(uid, uid + n)), batch.column("doc_id").slice(a, n), batch.column("train").slice(a, n), pa.array(np.diff(ptr)), pa.array(cols["n_known"]), pa.array(cols["log_sum"]),
+                    pa.array(np.arange(uid, uid + n)), batch.column("doc_id").slice(a, n), batch.column("train").slice(a, n), pa.array(key), pa.array(np.diff(ptr)), pa.array(cols["n_known"]), pa.array(cols["log_sum"]),
                     pa.array([types[i:j].tobytes() for i, j in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(offs, pa.array(r[new].view(np.int64))), pa.ListArray.from_arrays(offs, pa.array(np.diff(new, append=len(r)).astype(np.int32))),
                 ],
-                names=["uid", "doc_id", "train", "n_tokens", "n_known", "log_sum", "types", "rare", "times"],
+                names=["uid", "doc_id", "train", "key", "n_tokens", "n_known", "log_sum", "types", "rare", "times"],
             )
             uid += n
 
@@ -174,7 +186,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, k]) for k in range(CONTEXTS))], names=["type", *(f"n{k}" for k in range(CONTEXTS))])
 
 
-def classes_of(table: np.ndarray, k: int = CLASSES, seed: int = 11, rounds: int = 25) -> np.ndarray:
+def classes_of(table: np.ndarray, k: int = WIDTH - 1, seed: int = 11, rounds: int = 25) -> np.ndarray:
     """k-means of the types by the square roots of their context shares, weighted by the logarithm of their counts; the end is a class of its own."""
     rng = np.random.default_rng(seed)
     n = table.sum(1)
@@ -195,78 +207,178 @@ def classes_of(table: np.ndarray, k: int = CLASSES, seed: int = 11, rounds: int
     return out
 
 
-def feature_rows(before: np.ndarray) -> np.ndarray:
-    """Rows of the weight table (columns): bias, last, last two, the one before the last, last and third last."""
-    a, b, c = (before[:, i].astype(U64) for i in range(3))
-    t = U64(TYPES)
-    keys = [np.zeros(len(a), U64), a + U64(1), (a * t + b) + U64(1 << 40), b + U64(1 << 41), (a * t + c) + U64(1 << 42)]
-    return np.stack([(mix64(x) % U64(ROWS)).astype(np.int64) for x in keys], 1)
-
-
-def _log_softmax(theta: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = theta[rows[:, 0]].copy()
-    for f in range(1, rows.shape[1]):
-        z += theta[rows[:, f]]
+def cells_of(classes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The cell of each type within its class: the types with most tokens have one each, the others share the last ones."""
+    own = WIDTH - SHARED
+    order = np.lexsort((np.arange(len(classes)), -tokens, classes))
+    first = np.searchsorted(classes[order], classes[order])
+    rank = np.empty(len(classes), np.int64)
+    rank[order] = np.arange(len(classes)) - first
+    cell = np.where((rank < own) & (tokens > 0), rank, own + np.arange(len(classes)) % SHARED)
+    cell[END] = 0
+    return cell
+
+
+@dataclass(frozen=True)
+class Model:
+    """Classes and cells of the types, the log10 sizes of cells, and the weights.
+
+    Rows of ``theta`` (WIDTH wide) and ``steps`` (summed squared gradients): the classes' biases; the biases of the
+    cells of each class; then 1 << bits for each kind of feature, of classes and then of cells.
+    """
+
+    classes: np.ndarray
+    cells: np.ndarray
+    log_size: np.ndarray
+    bits: int
+    theta: np.ndarray
+    steps: np.ndarray
+
+    @classmethod
+    def untrained(cls, classes: np.ndarray, per_type: np.ndarray, bits: int) -> Model:
+        """``per_type``: training tokens and distinct words of each type."""
+        cells = cells_of(classes, per_type[:, 0])
+        at = classes * WIDTH + cells
+        at[START] = at[END]
+        size = (np.bincount(at, per_type[:, 0], WIDTH**2) + 0.1 * (np.bincount(at, per_type[:, 1], WIDTH**2) + 1)).reshape(WIDTH, WIDTH)
+        there = np.bincount(at, minlength=WIDTH**2).reshape(WIDTH, WIDTH) > 0
+        theta = np.zeros((1 + WIDTH + 2 * (KINDS << bits), WIDTH), np.float32)
+        theta[0] = np.log(np.where(there, size, 0).sum(1) + 1e-30)
+        theta[1 : 1 + WIDTH] = np.where(there, np.log(size), -1e9)  # cells without types take nothing
+        return cls(classes, cells, np.log10(size), bits, theta, np.zeros(len(theta), np.float32))
+
+    def rows(self, before: np.ndarray, of: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Per kind of feature the row of each token, for its class and for its cell in the class ``of``."""
+        a, b = (before[:, i].astype(U64) for i in range(2))
+        keys = [a + U64(1), (a * U64(TYPES) + b) + U64(1 << 40), b + U64(1 << 41)]
+        shift, first, second = U64(64 - self.bits), [], []
+        for x in keys:
+            h = mix64(x)
+            first.append((h >> shift).astype(np.uint16))
+            second.append((((h ^ of.astype(U64)) * U64(0x9E3779B97F4A7C15)) >> shift).astype(np.uint16))
+        return first, second
+
+    def offsets(self, second: bool) -> list[int]:
+        return [1 + WIDTH + ((KINDS * second + f) << self.bits) for f in range(KINDS)]
+
+
+def log_softmax(model: Model, bias: np.ndarray, rows: list[np.ndarray], second: bool) -> np.ndarray:
+    """Log probabilities (natural) of the WIDTH outcomes of each token."""
+    z = model.theta[bias]
+    for r, start in zip(rows, model.offsets(second), strict=True):
+        z += model.theta[r.astype(np.int64) + start]
     z -= z.max(1, keepdims=True)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
-def _step(theta: np.ndarray, seen: np.ndarray, adagrad: np.ndarray, rows: np.ndarray, y: np.ndarray, rate: float) -> None:
-    g = np.exp(_log_softmax(theta, rows))
+def _descend(model: Model, seen: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], second: bool, y: np.ndarray, rate: float) -> None:
+    """One step of one factor; the model's arrays change."""
+    g = np.exp(log_softmax(model, bias, rows, second))
     g[np.arange(len(y)), y] -= 1
-    flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    r = flat[order]
-    new = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-    total = np.add.reduceat(g[order // rows.shape[1]], new)
-    u, n = r[new], np.diff(new, append=len(r))
-    total /= np.sqrt(n)[:, None]  # rows with many tokens step as steadily as rare ones
-    adagrad[u] += (total**2).mean(1)
-    theta[u] -= rate * total / np.sqrt(adagrad[u] + 1e-8)[:, None]
-    seen[u] += n
+    for r, start in zip([bias.astype(np.uint16), *rows], [0, *model.offsets(second)], strict=True):
+        order = np.argsort(r, kind="stable")
+        r = r[order]
+        new = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+        u, n = r[new].astype(np.int64) + start, np.diff(new, append=len(r))
+        total = np.add.reduceat(g[order], new)
+        total /= np.sqrt(n, dtype=np.float32)[:, None]  # rows with many tokens step as steadily as rare ones
+        model.steps[u] += (total**2).mean(1)
+        total *= (rate / np.sqrt(model.steps[u] + 0.1))[:, None]
+        model.theta[u] -= total
+        seen[u] += n
+
+
+def train_shard(model: Model, types: list[bytes], rate: float) -> tuple[Model, np.ndarray]:
+    """The model after minibatch steps over some texts, and how many tokens met each row."""
+    new = replace(model, theta=model.theta.copy(), steps=model.steps.copy())
+    seen = np.zeros(len(model.theta), np.int64)
+    total = sum(len(t) // 2 for t in types)
+    size = min(max(total // 64, 256), 8192)  # short shards still make several steps
+    for x, before in _portions(types):
+        of, cell = model.classes[x], model.cells[x]
+        first, second = model.rows(before, of)
+        for i in range(0, len(x), size):
+            at = slice(i, i + size)
+            _descend(new, seen, np.zeros(len(of[at]), np.int64), [r[at] for r in first], False, of[at], rate)
+            _descend(new, seen, 1 + of[at], [r[at] for r in second], True, cell[at], rate)
+    return new, seen
+
+
+def _portions(types: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Types and histories of texts, in order, about PORTION tokens at a time (a text may be cut)."""
+    held, n = [], 0
+    for t in [*types, None]:
+        if held and (t is None or n + len(t) // 2 > PORTION):
+            x, before, _ = _histories(held)
+            for i in range(0, len(x), PORTION):
+                yield x[i : i + PORTION], before[i : i + PORTION]
+            held, n = [], 0
+        if t is not None:
+            held.append(t)
+            n += len(t) // 2
+
+
+_CHANGES = "row int, w double, s double, " + ", ".join(f"d{c} float" for c in range(WIDTH))
+
+
+def _trained(weights, rate: float) -> Callable[[pa.Table], pa.Table]:
+    """From a shard's texts the changes of the rows that they met, times the tokens that met them."""
+
+    def run(shard: pa.Table) -> pa.Table:
+        model: Model = weights.value
+        shard = shard.sort_by([("key", "ascending"), ("doc_id", "ascending")])
+        new, seen = train_shard(model, shard.column("types").to_pylist(), rate)
+        at = np.flatnonzero(seen)
+        w = seen[at].astype(np.float64)
+        change = (new.theta[at] - model.theta[at]) * w[:, None].astype(np.float32)
+        cols = [pa.array(at.astype(np.int32)), pa.array(w), pa.array((new.steps[at] - model.steps[at]) * w), *(pa.array(np.ascontiguousarray(change[:, c])) for c in range(WIDTH))]
+        return pa.Table.from_arrays(cols, names=["row", "w", "s", *(f"d{c}" for c in range(WIDTH))])
+
+    return run
+
+
+def averaged(model: Model, changes: pa.Table) -> Model:
+    """The model after a round: ``changes`` has, per row, weighted sums over the shards and the sum of the weights."""
+    theta, steps = model.theta.copy(), model.steps.copy()
+    if changes.num_rows:
+        at, w = changes.column("row").to_numpy(), changes.column("w").to_numpy()
+        for c in range(WIDTH):
+            theta[at, c] += changes.column(f"d{c}").to_numpy() / w
+        steps[at] += changes.column("s").to_numpy() / w
+    return replace(model, theta=theta, steps=steps)
+
+
+def model_scores(model: Model, types: list[bytes]) -> np.ndarray:
+    """Per text the log10 probability of its classes and cells, less the log10 sizes of the cells."""
+    n = np.array([len(t) // 2 for t in types], np.int64)
+    each = []
+    for x, before in _portions(types):
+        of, cell = model.classes[x], model.cells[x]
+        first, second = model.rows(before, of)
+        for i in range(0, len(x), 8192):
+            at = slice(i, i + 8192)
+            k = np.arange(len(x[at]))
+            p = log_softmax(model, np.zeros(len(k), np.int64), [r[at] for r in first], False)[k, of[at]].astype(np.float64)
+            p += log_softmax(model, 1 + of[at], [r[at] for r in second], True)[k, cell[at]]
+            each.append(p / np.log(10) - model.log_size[of[at], cell[at]])
+    return np.add.reduceat(np.concatenate(each), np.cumsum(n) - n) if each else np.zeros(0)  # every text has a token
 
 
-@tidy
-def _trained(batches: Iterator[pa.RecordBatch], weights, classes: np.ndarray, rate: float) -> Iterator[pa.RecordBatch]:
-    """Minibatch steps over a share of the texts; the changes of the rows that were met."""
-    start, adagrad = weights.value
-    theta, adagrad, seen = start.copy(), adagrad.copy(), np.zeros(ROWS, np.int64)
-    before_adagrad = adagrad.copy()
-    for batch in batches:
-        lists = batch.column("types").to_pylist()
-        for k in range(0, len(lists), 32):
-            x, before, _ = _histories(lists[k : k + 32])
-            rows, y = feature_rows(before), classes[x]
-            size = min(max(len(y) // 4, 256), 4096)  # short texts still make several steps
-            for i in range(0, len(y), size):
-                _step(theta, seen, adagrad, rows[i : i + size], y[i : i + size], rate)
-    at = np.flatnonzero(seen)
-    w = seen[at].astype(np.float64)
-    change = (theta[at] - start[at]) * w[:, None]
-    cols = [pa.array(at), pa.array(w), pa.array((adagrad - before_adagrad)[at].astype(np.float64)), *(pa.array(change[:, c].astype(np.float32)) for c in range(CLASSES + 1))]
-    yield pa.RecordBatch.from_arrays(cols, names=["row", "w", "g", *(f"d{c}" for c in range(CLASSES + 1))])
+_SCORED = ["uid", "doc_id", "train", "n_tokens", "n_known", "log_sum"]
 
 
 @tidy
-def _class_scores(batches: Iterator[pa.RecordBatch], weights, classes: np.ndarray, log_size: np.ndarray) -> Iterator[pa.RecordBatch]:
-    theta = weights.value[0]
+def _scored(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = batch.column("types").to_pylist()
-        out = []
-        for k in range(0, len(lists), 32):
-            x, before, n = _histories(lists[k : k + 32])
-            rows, y = feature_rows(before), classes[x]
-            each = np.zeros(len(y))
-            for i in range(0, len(y), 8192):
-                part = y[i : i + 8192]
-                each[i : i + 8192] = _log_softmax(theta, rows[i : i + 8192])[np.arange(len(part)), part] / np.log(10) - log_size[part]
-            out.append(np.add.reduceat(each, np.cumsum(n) - n))  # every text has a token
-        yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), batch.column("train"), batch.column("n_tokens"), batch.column("n_known"), batch.column("log_sum"), pa.array(np.concatenate(out) if out else np.zeros(0))], names=["uid", "doc_id", "train", "n_tokens", "n_known", "log_sum", "class_sum"])
-
-
-def score(docs: DataFrame, rounds: int = 6, rate: float = 0.3) -> DataFrame:
+        out = model_scores(weights.value, batch.column("types").to_pylist())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _SCORED), pa.array(out)], names=[*_SCORED, "model_sum"])
+
+
+def score(docs: DataFrame, rounds: int = 4, rate: float = RATE, shard_tokens: int = 1 << 21, bits_most: int = 15) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+    if not 1 <= bits_most <= 16:
+        raise ValueError("bits_most is between 1 and 16")
     spark = docs.sparkSession
     sc = spark.sparkContext
     ws = Workspace(spark, "maxent")
@@ -285,44 +397,41 @@ def score(docs: DataFrame, rounds: int = 6, rate: float = 0.3) -> DataFrame:
     known = vocab.filter(F.col("c") >= least).select("h", "sfx", "c").toArrow()  # at most KNOWN rows
     h, sfx, c = (known.column(k).to_numpy() for k in ("h", "sfx", "c"))
     head = np.full(len(h), -1)
-    words = np.flatnonzero(sfx >= 0)
-    top = words[np.lexsort((h[words], -c[words]))[:HEADS]]
+    words = np.flatnonzero((sfx >= 0) & (c >= HEAD_LEAST))
+    top = words[np.lexsort((h[words], -c[words]))[:HEADS_MOST]]
     head[top] = np.arange(len(top))
     lookup = sc.broadcast(Lookup(h.view(U64), c, head))
     encoded = ws.write(rows.mapInArrow(partial(_encoded, lookup=lookup), _ENCODED), "encoded")
 
-    # classes, and tokens and words of each
-    train = encoded.filter("train").select("types")
-    found = train.mapInArrow(_contexts, "type long, " + ", ".join(f"n{k} long" for k in range(CONTEXTS))).groupBy("type").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(CONTEXTS)]).toArrow()  # a row per type
+    # classes, and tokens and words of each type
+    train = encoded.filter("train")
+    found = train.select("types").mapInArrow(_contexts, "type long, " + ", ".join(f"n{k} long" for k in range(CONTEXTS))).groupBy("type").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(CONTEXTS)]).toArrow()  # a row per type
     table = np.zeros((TYPES, CONTEXTS))
     if found.num_rows:
         table[found.column("type").to_numpy()] = np.stack([found.column(f"n{k}").to_numpy() for k in range(CONTEXTS)], 1)
-    classes = classes_of(table)
     sized = vocab.groupBy("sfx").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()  # a row per suffix type
     per_type = np.zeros((TYPES, 2))
     at = sized.column("sfx").to_numpy().astype(np.int64)
-    per_type[np.where(at < 0, END, HEADS + at)] = np.stack((sized.column("n").to_numpy(), sized.column("v").to_numpy()), 1)
-    np.subtract.at(per_type, HEADS + sfx[top], np.stack((c[top], np.ones(len(top))), 1))
-    per_type[: len(top)] = np.stack((c[top], np.ones(len(top))), 1)
-    log_size = np.log10(np.bincount(classes, per_type[:, 0], CLASSES + 1) + 0.1 * (np.bincount(classes, per_type[:, 1], CLASSES + 1) + 1))
-
-    # training: each round has its share of the texts
-    theta, adagrad = np.zeros((ROWS, CLASSES + 1), np.float32), np.zeros(ROWS, np.float32)
-    schema = "row long, w double, g double, " + ", ".join(f"d{k} float" for k in range(CLASSES + 1))
+    per_type[np.where(at < 0, END, at)] = np.stack((sized.column("n").to_numpy(), sized.column("v").to_numpy()), 1)
+    heads = np.stack((c[top], np.ones(len(top))), 1)
+    np.subtract.at(per_type, sfx[top], heads)
+    per_type[START + 1 : START + 1 + len(top)] = heads
+    bits = int(np.clip(np.ceil(np.log2(max(n_all, 1) / 128)), 8, bits_most))
+    model = Model.untrained(classes_of(table), per_type, bits)
+
+    # training: shards of texts, the same whatever the partitions
+    per_round = max(1, -(-n_all // (rounds * shard_tokens)))
+    dealt = train.select("key", "doc_id", "types", F.pmod(F.xxhash64("doc_id", "key"), F.lit(rounds * per_round)).alias("shard"))
+    tasks = min(per_round, max(partitions(spark), sc.defaultParallelism))
     for k in range(rounds):
-        weights = sc.broadcast((theta, adagrad))
-        share = encoded.filter(F.col("train") & (F.pmod(F.xxhash64("uid"), F.lit(rounds)) == k)).select("types")
-        got = share.mapInArrow(partial(_trained, weights=weights, classes=classes, rate=rate), schema).groupBy("row").agg(F.sum("w").alias("w"), F.sum("g").alias("g"), *[F.sum(f"d{j}").alias(f"d{j}") for j in range(CLASSES + 1)]).toArrow()  # ROWS rows at most
-        if got.num_rows:
-            at, w = got.column("row").to_numpy(), got.column("w").to_numpy()
-            theta = theta.copy()
-            theta[at] += np.stack([got.column(f"d{j}").to_numpy() / w for j in range(CLASSES + 1)], 1)
-            adagrad = adagrad.copy()
-            adagrad[at] += got.column("g").to_numpy()
+        weights = sc.broadcast(model)
+        shards = dealt.filter(F.col("shard") % rounds == k).repartition(tasks, "shard").groupBy("shard")
+        changes = shards.applyInArrow(_trained(weights, rate), _CHANGES).groupBy("row")
+        model = averaged(model, changes.agg(F.sum("w").alias("w"), F.sum("s").alias("s"), *[F.sum(f"d{j}").cast("float").alias(f"d{j}") for j in range(WIDTH)]).toArrow())  # a row per weight row
         weights.unpersist()
 
-    weights = sc.broadcast((theta, adagrad))
-    scored = encoded.mapInArrow(partial(_class_scores, weights=weights, classes=classes, log_size=log_size), "uid long, doc_id long, train boolean, n_tokens long, n_known long, log_sum double, class_sum double")
+    weights = sc.broadcast(model)
+    scored = encoded.mapInArrow(partial(_scored, weights=weights), "uid long, doc_id long, train boolean, n_tokens long, n_known long, log_sum double, model_sum double")
     # the other words: none is frequent, so no key of the join is
     rare = encoded.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", F.col("r.rare").alias("h"), F.col("r.times").alias("times"))
     counts = vocab.filter(F.col("c") < least).select("h", "c")
@@ -331,5 +440,5 @@ def score(docs: DataFrame, rounds: int = 6, rate: float = 0.3) -> DataFrame:
     logs = F.col("log_sum") + F.coalesce("rare_log", F.lit(0.0))
     return out.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.lit(float(np.log10(n_all + 0.1 * (v_all + 1))))).alias("base_score"), (logs + F.col("class_sum")).alias("score"),
+        (logs - F.col("n_tokens") * F.lit(float(np.log10(n_all + 0.1 * (v_all + 1))))).alias("base_score"), (logs + F.col("model_sum")).alias("score"),
     )

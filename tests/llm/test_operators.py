@@ -314,10 +314,121 @@ def test_language_model_learns(spark):
     out = maxent.score(frame(spark, rows)).toPandas()
     held = out[out.held_out]
     assert (held.score.sum() - held.base_score.sum()) / held.n_tokens.sum() > 0.1
-    # probabilities of all words after any history add up to 1, with one unseen word per class
-    theta = np.random.default_rng(1).standard_normal((maxent.ROWS, maxent.CLASSES + 1)).astype(np.float32)
+    assert np.isclose(out.score.sum(), maxent.score(frame(spark, rows[::-1]).repartition(7)).toPandas().score.sum(), rtol=1e-9)
+
+
+def mixed(x):
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> shift)) * by % 2**64
+    return x ^ (x >> 31)
+
+
+def brute_scores(spark, rows, rounds, rate, bits):
+    """The model by its definition, a token at a time in plain Python."""
+    w, t = maxent.WIDTH, maxent.TYPES
+    learn = [i is not None and zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in rows]
+    texts = [[*WORD.findall(ascii_lower(x)), None] for _, x in rows]
+    count = Counter(x for ok, text in zip(learn, texts, strict=True) if ok for x in text)
+    word_hash = {x: int(hash_words(pa.array([x])).hashes[0]) for text in texts for x in text if x} | {None: int(maxent.END_HASH[0])}
+
+    def suffix(x):
+        b = x.encode()[::-1][:3]
+        return mixed(int.from_bytes(b.ljust(3, b"\0"), "big")) % maxent.SUFFIXES
+
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    heads = sorted((x for x in count if x and count[x] >= maxent.HEAD_LEAST), key=lambda x: (-count[x], signed(word_hash[x])))
+    type_of = {x: maxent.START + 1 + heads.index(x) if x in heads else suffix(x) if x else maxent.END for text in texts for x in text}
+    types = [[type_of[x] for x in text] for text in texts]
+    table = np.zeros((t, maxent.CONTEXTS))
+    for ok, text in zip(learn, types, strict=True):
+        for was, x in zip([maxent.START, *text], text, strict=False):
+            table[x, mixed(was + 77) % maxent.CONTEXTS] += ok
+    classes = maxent.classes_of(table)
+    tokens, words = Counter(), Counter()
+    for x, c in count.items():
+        tokens[type_of[x]] += c
+        words[type_of[x]] += 1
+    cell = {}
+    for k in range(w):
+        mine = sorted((x for x in range(t) if classes[x] == k), key=lambda x: (-tokens[x], x))
+        cell |= {x: r if r < w - maxent.SHARED and tokens[x] else w - maxent.SHARED + x % maxent.SHARED for r, x in enumerate(mine)}
+    cell[maxent.END] = cell[maxent.START] = 0
+    size = np.full((w, w), 0.1)
+    there = np.zeros((w, w), bool)
+    for x in range(t):
+        size[classes[x], cell[x]] += tokens[x] + 0.1 * words[x]
+        there[classes[x], cell[x]] = True
+    bias = {(): np.log(np.where(there, size, 0).sum(1) + 1e-30)} | {(k,): np.where(there[k], np.log(size[k]), -1e9) for k in range(w)}
+    theta, steps = {k: v.copy() for k, v in bias.items()}, {}
+
+    def features(text, i):
+        a, b = (text[i - k] if i >= k else maxent.START for k in (1, 2))
+        hashes = [mixed(x) for x in (a + 1, a * t + b + 2**40, b + 2**41)]
+        k = int(classes[text[i]])
+        first = [(), *(("class", f, h >> (64 - bits)) for f, h in enumerate(hashes))]
+        return (first, k), ([(k,), *(("cell", f, (h ^ k) * 0x9E3779B97F4A7C15 % 2**64 >> (64 - bits)) for f, h in enumerate(hashes))], cell[text[i]])
+
+    def probabilities(weights, keys):
+        z = sum(weights.get(f, np.zeros(w)) for f in keys)
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    key = [signed(mixed(sum((i + 1) * word_hash[x] for i, x in enumerate(text)) % 2**64)) for text in texts]
+    ids = spark.createDataFrame([(n, i, k) for n, ((i, _), k) in enumerate(zip(rows, key, strict=True))], "n long, doc_id long, key long")
+    shard = {r.n: r.s for r in ids.select("n", F.pmod(F.xxhash64("doc_id", "key"), F.lit(rounds)).alias("s")).collect()}
+    for r in range(rounds):
+        mine = sorted((n for n in range(len(rows)) if learn[n] and shard[n] == r), key=lambda n: (key[n], rows[n][0]))
+        all_ = [features(types[n], i) for n in mine for i in range(len(types[n]))]
+        step = min(max(len(all_) // 64, 256), 8192)
+        for i in range(0, len(all_), step):
+            for factor in (0, 1):
+                moves = {}
+                for keys, y in (x[factor] for x in all_[i : i + step]):
+                    g = probabilities(theta, keys)
+                    g[y] -= 1
+                    for f in keys:
+                        moves.setdefault(f, []).append(g)
+                for f, gs in moves.items():
+                    g = sum(gs) / math.sqrt(len(gs))
+                    steps[f] = steps.get(f, 0) + (g**2).mean()
+                    theta[f] = theta.get(f, np.zeros(w)) - rate * g / math.sqrt(steps[f] + 0.1)
+    out = []
+    for (i, _), text, ts in zip(rows, texts, types, strict=True):
+        p = 0.0
+        for n, x in enumerate(text):
+            for keys, y in features(ts, n):
+                p += math.log10(probabilities(theta, keys)[y])
+            p += math.log10((count[x] + 0.1) / size[classes[ts[n]], cell[ts[n]]])
+        out.append((i, p))
+    return out
+
+
+def test_language_model_equals_brute_force_whatever_the_partitions(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice(VOCAB[: 40 + 400 * (i % 2)]) for _ in range(r.randint(0, 60)))) for i in range(70)] + [(None, "a b"), (500, None), (501, "never seen before"), (7, "twice"), (7, "twice")]
+    want = sorted(brute_scores(spark, rows, 2, 0.25, 8), key=repr)
+    for parts in (1, 4, 16):
+        df = frame(spark, rows).withColumns({"score": F.lit("x"), "train": F.lit(1), "key": F.lit(2)}).repartition(parts)
+        got = sorted(((x.doc_id, x.score) for x in maxent.score(df, rounds=2).collect()), key=repr)
+        assert [a for a, _ in got] == [a for a, _ in want] and np.allclose([b for _, b in got], [b for _, b in want], rtol=1e-4)
+
+
+def test_language_model_averages_shards_and_adds_up_to_one(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(VOCAB[:60]) for _ in range(50))) for i in range(200)]
+    one, many = (maxent.score(frame(spark, rows).repartition(n), rounds=2, shard_tokens=900).toPandas().sort_values("doc_id").score for n in (1, 9))
+    assert np.allclose(one, many, rtol=1e-6)
+    classes = np.arange(maxent.TYPES) % (maxent.WIDTH - 1)
+    classes[[maxent.END, maxent.START]] = maxent.WIDTH - 1
+    counts = np.random.default_rng(1).integers(0, 3, (maxent.TYPES, 1)).repeat(2, 1)
+    m = maxent.Model.untrained(classes, counts, 8)
+    m.theta[1 + maxent.WIDTH :] = np.random.default_rng(2).standard_normal(m.theta[1 + maxent.WIDTH :].shape)
     before = np.array([[1, 2, 3], [maxent.START] * 3])
-    assert np.allclose(np.exp(maxent._log_softmax(theta, maxent.feature_rows(before))).sum(1), 1, atol=1e-5)
+    total = np.zeros(2)
+    p = np.exp(maxent.log_softmax(m, np.zeros(2, int), m.rows(before, np.zeros(2, int))[0], False))
+    for k in range(maxent.WIDTH):  # cells with types only, and the words of each with one unseen add up to 1
+        total += p[:, k] * np.exp(maxent.log_softmax(m, np.full(2, 1 + k), m.rows(before, np.full(2, k))[1], True)).sum(1)
+    assert np.allclose(total, 1, atol=1e-4)
 
 
 # ---------------------------------------------------------------- 7
