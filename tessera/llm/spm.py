@@ -8,11 +8,15 @@ most the maximum piece length back, so the search keeps that window; whenever th
 in it meet at one boundary, the ids before it are committed and their positions dropped. The ids equal those of the
 sentencepiece library, byte fallback included.
 
-White space starts a piece and never follows other characters within one, so texts are cut there; a word's ids are
-kept in a bounded cache. Texts that hold U+2581 itself are searched as a whole.
+Every text goes through that search in stretches. White space starts a piece and never follows other characters within
+one, so no path crosses the place before it: all paths meet there, the ids up to it are committed, and what follows is
+a search of its own. A stretch between two such places is fed and committed like any other text, whatever its length;
+what it came to is remembered (a bounded number of stretches), as is the state of the positions that a stretch has in
+common with the one before it. Texts that hold U+2581 itself are one stretch.
 
 Defined results: null and empty texts have no ids and decode to the empty text. U+2581 decodes to a space, as in the
-library. Null or repeated doc_ids, empty tables and other columns don't matter to ``encode``, a row in a row out.
+library. Null or repeated doc_ids, repeated rows, empty tables and other columns, whatever their names, don't matter to
+``encode``, a row in a row out. Very long texts are fed like others; the search holds a window, not the text.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from tessera.llm.common import U64, IdCache, flat, hash_segments, ranges, _text_
 
 MARK = "▁"
 SHORT = (2, 1)
-PORTION = 64
+PORTION = 64  # characters between two looks for a boundary
 
 
 class Model:
@@ -106,24 +110,46 @@ class StreamingViterbi:
 
     def __init__(self, model: Model):
         self.model = model
+        self.fed = self.committed = self.widest = 0  # characters searched, ids given out, the widest window
+        self._start()
+
+    def _start(self) -> None:
         self.text = ""  # from the last committed boundary on
         self.back = [-1]  # per position of it: where its last piece starts
         self.last = [-1]  # per position: its last piece; -1 at the start and after a character without one
-        self.widest = 0
+        self.cut = False  # whether something was committed since the text began
 
     def feed(self, s: str) -> list[int]:
-        m, out = self.model, []
+        out: list[int] = []
         for at in range(0, len(s), PORTION):
             done = len(self.text)
             self.text += s[at : at + PORTION]
             self._search(done)
-            out += self._commit(len(self.text))
             self.widest = max(self.widest, len(self.text))
+            if len(self.text) > PORTION:  # a shorter window is let grow, to look for boundaries less often
+                out += self._commit(self._boundary(len(self.text)))
         return out
 
+    def close(self) -> list[int]:
+        """The text ends here, or white space follows: no piece goes on, and all paths meet at the last position."""
+        out = self._emit(len(self.text))
+        self.committed += len(out)
+        return out
+
+    def rewind(self, n: int) -> int:
+        """Begin another text that shares n characters with the last one: those of them that are still in the window
+        needn't be searched again. Gives how many that are."""
+        if self.cut:  # the window's start isn't the text's
+            self._start()
+            return 0
+        self.text = self.text[:n]
+        del self.back[n + 1 :], self.last[n + 1 :]
+        return n
+
     def _search(self, done: int) -> None:
         """Fill the positions after ``done``; those up to it depend on the text before them only."""
         m, text, back, last = self.model, self.text, self.back, self.last
+        self.fed += len(text) - done
         piece, tails, pairs, alone = m.ids.get, m.tails.get, m.pairs.get, m.alone
         for i in range(done + 1, len(text) + 1):
             if piece(text[i - 1]) is None:
@@ -163,51 +189,35 @@ class StreamingViterbi:
         out.reverse()
         return out
 
-    def _commit(self, end: int) -> list[int]:
-        b = self._boundary(end)
+    def _commit(self, b: int) -> list[int]:
         if b <= 0:
             return []
         out = self._emit(b)
+        self.committed += len(out)
+        self.cut = True
         # the piece before the boundary stays known: it decides what may follow
         self.text, self.back, self.last = self.text[b:], [x - b for x in self.back[b:]], self.last[b:]
         self.back[0] = -1
         return out
 
-    def finish(self) -> list[int]:
-        out = self._emit(len(self.text))
-        self.__init__(self.model)
-        return out
-
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Model:
     return Model(path)
 
 
-def encode_one(model: Model, s: str) -> list[int]:
-    """The ids of a string that is already marked (spaces as U+2581)."""
-    v = StreamingViterbi(model)
-    return v.feed(s) + v.finish()
-
-
-def encode_many(model: Model, texts: list[str]) -> list[list[int]]:
-    """As ``encode_one``, for many strings. Short ones go in order, and each goes on from the prefix it shares with the one before."""
-    out: list[list[int]] = [[]] * len(texts)
-    v, was = StreamingViterbi(model), ""
-    for i in sorted(range(len(texts)), key=texts.__getitem__):
-        s = texts[i]
-        if len(s) > PORTION:
-            out[i] = encode_one(model, s)
-            continue
-        n = 0
+def encode_many(model: Model, stretches: list[str], search: StreamingViterbi | None = None) -> list[list[int]]:
+    """The ids of stretches (spaces as U+2581), in alphabetical order, so that one begins where the last is still in the window."""
+    out: list[list[int]] = [[]] * len(stretches)
+    v, was = search or StreamingViterbi(model), ""
+    for i in sorted(range(len(stretches)), key=stretches.__getitem__):
+        s, n = stretches[i], 0
         for x, y in zip(s, was):  # noqa: B905  the shorter ends it
             if x != y:
                 break
             n += 1
-        v.text, was = s, s
-        del v.back[n + 1 :], v.last[n + 1 :]
-        v._search(n)
-        out[i] = v._emit(len(s))
+        was = s
+        out[i] = v.feed(s[v.rewind(n) :]) + v.close()
     return out
 
 
@@ -219,9 +229,9 @@ def encode_batch(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]
         return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
     mark = (raw[:-2] == 0xE2) & (raw[1:-1] == 0x96) & (raw[2:] == 0x81)
     if mark.any() or not model.cuts[0x20]:
-        got = [encode_one(model, (MARK + t.replace(" ", MARK)) if t else "") for t in texts.fill_null("").to_pylist()]
+        got = encode_many(model, [(MARK + t.replace(" ", MARK)) if t else "" for t in texts.fill_null("").to_pylist()])
         return np.concatenate([np.asarray(x, np.int32) for x in got]), np.array([len(x) for x in got], np.int64)
-    # a segment: bytes to cut at and what follows them; the last of a text may be such bytes alone
+    # a stretch: bytes to cut at and what follows them; the last of a text may be such bytes alone
     inside = ~model.cuts[raw]
     after = np.concatenate((inside[1:], [False]))
     text_ends = offs[1:][sizes > 0]

@@ -451,13 +451,45 @@ def test_sentencepiece(spark):
 
 
 def test_streaming_commits_within_a_bounded_window():
-    m = spm.load(q.tokenizer_file("piece_bpe_32k.model"))
+    import sentencepiece
+
+    path = q.tokenizer_file("piece_bpe_32k.model")
+    m = spm.load(path)
     text = ("internationalization-of-everything" + "=" * 37) * 60
-    whole, v, out = spm.encode_one(m, text), spm.StreamingViterbi(m), []
+    v, out = spm.StreamingViterbi(m), []
     for k in range(0, len(text), 11):  # however it arrives
         out += v.feed(text[k : k + 11])
         assert len(v.text) <= 4 * m.longest + 64
-    assert out + v.finish() == whole
+    assert len(out) > 100  # before the text ends
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert spm.encode_many(m, [text]) == [out + v.close()] and v.committed == len(out + v.close()) and v.fed == len(text)
+    assert spm.encode_many(m, ["\u2581" + text]) == [sp.encode(text)]
+
+
+def test_every_stretch_is_fed_and_committed(monkeypatch):
+    """The query's path: whatever isn't remembered is searched by the streaming search, in a bounded window."""
+    import sentencepiece
+
+    path = q.tokenizer_file("piece_bpe_32k.model")
+    m, sp = spm.Model(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    seen = []
+
+    class Counting(spm.StreamingViterbi):
+        def __init__(self, model):
+            super().__init__(model)
+            seen.append(self)
+
+    monkeypatch.setattr(spm, "StreamingViterbi", Counting)
+    texts = [prose(400, 1), prose(30, 2) + "-" * 500 + prose(5, 3).replace(" ", "."), "x" * 5000, "one", ""]
+    for text in texts:
+        m.cache = spm.IdCache(np.int32)  # nothing is remembered from other texts
+        seen.clear()
+        ids, _ = spm.encode_batch(m, pa.array([text]))
+        assert ids.tolist() == sp.encode(text)
+        new = {("" if i else "\u2581") + x for i, x in enumerate(re.findall(r" *[^ ]+", text))}
+        assert sum(v.committed for v in seen) == sum(len(sp.encode(x.replace("\u2581", "", 1)) if x[0] == "\u2581" else sp.encode(x[1:])) for x in new)
+        assert max((v.widest for v in seen), default=0) <= 3 * spm.PORTION and sum(v.fed for v in seen) <= sum(map(len, new))
+    assert sum(v.fed for v in seen) == 0
 
 
 # ---------------------------------------------------------------- 8
