@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import contextvars
 import ctypes
 import functools
 import tempfile
@@ -35,15 +37,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE: contextvars.ContextVar[list[Workspace] | None] = contextvars.ContextVar("made", default=None)
+_LEFT: dict[str, Workspace] = {}  # by root
+
+
 class Workspace:
     """Tables of one operator call, as Parquet below the shared folder.
 
-    A written table cuts the lineage: a lost executor costs the current stage only.
+    A written table cuts the lineage: a lost executor costs the current stage only. Results read from these tables, so
+    they stay until ``scratch`` ends, or else the driver program.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self._conf, self._path = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+        if not _LEFT:
+            atexit.register(_drop_left)
+        _LEFT[self.root] = self
+        if (made := _MADE.get()) is not None:
+            made.append(self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -55,8 +68,29 @@ class Workspace:
     def drop(self, *tables: str) -> None:
         """Delete tables nothing reads any more; without names, the whole workspace."""
         for p in [self.path(t) for t in tables] or [self.root]:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path = self._path(p)
+            path.getFileSystem(self._conf).delete(path, True)
+        if not tables:
+            _LEFT.pop(self.root, None)
+
+
+def _drop_left() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        for ws in list(_LEFT.values()):
+            ws.drop()
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Workspaces of the operators called within are deleted at the end; write results before it."""
+    made: list[Workspace] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for ws in made:
+            ws.drop()
 
 
 def tidy(f):
@@ -78,6 +112,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_spread(big: DataFrame, small: DataFrame, keys: list[str], by: str, rows: int, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, a row for each of the keys and ``members``, how many rows of ``big`` have them.
+
+    Keys with many members are dealt over several tasks by a hash of the column ``by``. There are at most 100,000 such
+    keys, whatever the number of ``rows`` of ``big``, and they are broadcast.
+    """
+    most = max(512, rows // 100_000)
+    hot = F.broadcast(small.filter(F.col("members") > most).select(*keys, F.ceil(F.col("members") / most).cast("int").alias("_parts")))
+    left = big.join(hot, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts").cast("long")).cast("int"), F.lit(0))).drop("_parts")
+    right = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col("members") > most, F.ceil(F.col("members") / most).cast("int") - 1).otherwise(0))))
+    return left.join(right, [*keys, "_part"], how).drop("_part", "members")
+
+
 # ---------------------------------------------------------------- word hashing
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)

@@ -4,18 +4,20 @@ Method. A document's set is its distinct word shingles, hashed once to 64 bits;
 Documents with equal sets form one class before anything else, so exact copies cost nothing later. Retained values
 go to inverted lists. A pair at or above the threshold shares at least t of its ``index_k`` least values (exactly for
 small sets, but for a chance of ``miss`` otherwise), so under any order of all values it shares one of each side's
-first index_k - t + 1; values are ordered by how often sketches hold them (a counting table of fixed size), which
-keeps very common passages out of the lists. Lists give candidates in two steps: every member against the list's
+first index_k - t + 1; values are ordered by how often sketches hold them (a counting table that grows with the number
+of sets up to 4 million slots), which keeps very common passages out of the lists. Lists give candidates in two steps: every member against the list's
 first document, which links groups of near copies in linear work (the union of two sketches estimates the overlap and
 drops far pairs, full sets decide); then, for lists whose members are still in different components, blocks of members
-against blocks within the possible size range, but for pairs within the list's largest component. Before that, documents too much of which no other one in such lists
-has are dropped, as they can't link. Blocks carry full sets, built again for those documents only, and give no more
-links than join their components; pairs that don't link are never rows.
+against blocks within the possible size range, but for pairs within the list's largest component. Before that,
+documents too much of which no other one in such lists has are dropped, as they can't link. Blocks carry full sets,
+built again for those documents only and bounded in rows and bytes, and give no more links than join their components;
+pairs that don't link are never rows. Joins by a list's value or first document deal out frequent ones.
 
 Defined results: null or empty text, or text without words: an empty set, linked with nothing, a component of its
 own. Fewer words than a shingle: the whole word sequence is the one shingle. Repeated rows (same doc_id) each give a
-row. A null doc_id takes part; a component's id is the least doc_id that is not null. An empty table gives no rows.
-Columns besides doc_id and text are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
+row. A null doc_id takes part; a component's id is the least doc_id that is not null. A very long text is a set like
+any other, hashed in one piece. An empty table gives no rows. Columns besides doc_id and text, whatever their names,
+are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import U64, Workspace, connected_components, hash_words, mix64, ranges, text_slices, tidy
+from tessera.llm.common import U64, Workspace, connected_components, hash_words, join_spread, mix64, ranges, text_slices, tidy
 
 _COEF = mix64(np.arange(1, 257, dtype=np.uint64)) | U64(1)
 _SETS = "doc_id long, cls long, n_shingles long, sketch binary"
@@ -114,17 +116,17 @@ def prefix_length(n: int, p100: int, index_k: int, t: int) -> int:
 def _listed(batches: Iterator[pa.RecordBatch], counts, bits: int, p100: int, index_k: int, t: int) -> Iterator[pa.RecordBatch]:
     table = counts.value
     for batch in batches:
-        ids, sizes, out = [], [], []
-        for cls, n, sk in zip(batch.column("cls").to_pylist(), batch.column("n_shingles").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
+        at, out = [], []
+        for n, sk in zip(batch.column("n_shingles").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
             s = np.frombuffer(sk, U64)[:index_k]
             m = prefix_length(n, p100, index_k, t)
             if m < len(s):
                 s = s[np.lexsort((s, table[(s >> U64(64 - bits)).astype(np.int64)]))[:m]]
             out.append(s)
-            ids.append(np.full(len(s), cls, np.int64))
-            sizes.append(np.full(len(s), n, np.int64))
+            at.append(len(s))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(out).view(np.int64))], names=["cls", "n", "value"])
+            rows = pa.array(np.repeat(np.arange(len(at)), at))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("cls", "doc_id", "n_shingles")), pa.array(np.concatenate(out).view(np.int64))], names=["cls", "doc_id", "n", "value"])
 
 
 @tidy
@@ -215,13 +217,13 @@ def _block_links(rows: pa.Table, p100: int) -> pa.Table:
 
 
 # ---------------------------------------------------------------- operator
-def _open_lists(member: DataFrame) -> DataFrame:
+def _open_lists(member: DataFrame, rows: int) -> DataFrame:
     """Rows of lists whose members are in more than one component."""
-    lists = member.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("value")
-    return member.join(lists, "value")
+    lists = member.groupBy("value").agg(F.count("*").alias("members"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("value", "members")
+    return join_spread(member, lists, ["value"], "cls", rows)
 
 
-def _classes(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64, index_k: int = 32, slots_bits: int = 20, block: int = 512, miss: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64, index_k: int = 32, block: int = 512, block_bytes: int = 32 << 20, miss: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, cls, n_shingles; cls null without shingles), and the classes of equal sets (cls, the least doc_id, component)."""
     spark = docs.sparkSession
     ws = Workspace(spark, "minhash")
@@ -231,16 +233,19 @@ def _classes(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64, in
     reps = ws.write(reps, "reps")
     sketches = reps.select("cls", "n_shingles", "sketch")
 
-    # inverted lists, rarest values first
+    # inverted lists, rarest values first; a slot for every 64 values, and rarity in eighths of a power of two
     t = least_shared(percent / 100, index_k, miss)
+    slots_bits = min(max((reps.count() * index_k // 64).bit_length(), 16), 22)
     counted = reps.select("sketch").mapInArrow(partial(_slots, bits=slots_bits, index_k=index_k), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(1 << slots_bits, np.int64)  # of fixed size, however many documents there are
-    table[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    table = np.zeros(1 << slots_bits, np.uint8)
+    table[counted.column("slot").to_numpy()] = 8 * np.log2(counted.column("n").to_numpy() + 1)
     counts = spark.sparkContext.broadcast(table)
-    lists = ws.write(sketches.mapInArrow(partial(_listed, counts=counts, bits=slots_bits, p100=percent, index_k=index_k, t=t), "cls long, n long, value long"), "lists")
+    lists = ws.write(reps.mapInArrow(partial(_listed, counts=counts, bits=slots_bits, p100=percent, index_k=index_k, t=t), "cls long, doc_id long, n long, value long"), "lists")
     first = reps.select("cls", "doc_id")
-    heads = lists.groupBy("value").agg(F.count("*").alias("members"), F.min("n").alias("least_n")).filter("members > 1").select("value")
-    shared = ws.write(lists.join(heads, "value").join(first, "cls"), "shared")
+    heads = lists.groupBy("value").agg(F.count("*").alias("members"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "cls")).alias("lead")).filter("members > 1")
+    heads = ws.write(heads.select("value", "members", F.col("lead.cls").alias("a")), "heads")
+    shared = ws.write(join_spread(lists, heads, ["value"], "cls", lists.count()).drop("doc_id"), "shared")
+    n_shared = shared.count()
 
     share = least_shared(percent / 100, k, miss) / k
     def full_sets(need: DataFrame, tag: str) -> DataFrame:
@@ -249,22 +254,27 @@ def _classes(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64, in
         rows = again.mapInArrow(partial(_full_sets, n=words), "cls long, full binary").join(need, "cls", "left_semi")
         return ws.write(rows.groupBy("cls").agg(F.first("full").alias("full")), tag)
 
+    def with_lead(pairs: DataFrame, what: DataFrame, n: int) -> DataFrame:
+        """Pairs with what belongs to their first documents, some of which are in very many pairs."""
+        met = pairs.groupBy("a").agg(F.count("*").alias("members"))
+        return join_spread(pairs, met.join(what, "a"), ["a"], "b", n)
+
     # step 1: each list's members against its first document
-    lead = shared.groupBy("value").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "cls")).alias("lead")).select("value", F.col("lead.cls").alias("a"))
-    pairs = shared.join(lead, "value").filter("a <> cls").select("a", F.col("cls").alias("b")).distinct()
+    pairs = shared.filter("a <> cls").select("a", F.col("cls").alias("b")).distinct()
+    pairs = ws.write(pairs, "met")
     sk = reps.select("cls", "sketch")
-    joined = pairs.join(sk.toDF("a", "sa"), "a").join(sk.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    joined = with_lead(pairs, sk.toDF("a", "sa"), pairs.count()).join(sk.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     pairs = ws.write(joined.mapInArrow(partial(_estimated, k=k, least=share), "a long, b long"), "pairs")
     full = full_sets(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "full1")
-    both = pairs.join(full.toDF("a", "fa"), "a").join(full.toDF("b", "fb"), "b").select("a", "b", "fa", "fb")
+    both = with_lead(pairs, full.toDF("a", "fa"), pairs.count()).join(full.toDF("b", "fb"), "b").select("a", "b", "fa", "fb")
     links = ws.write(both.mapInArrow(partial(_verified, p100=percent), "a long, b long"), "links1")
-    ws.drop("full1", "pairs")
+    ws.drop("full1", "pairs", "met", "lists", "heads")
     comp = ws.write(connected_components(ws, links, "cc"), "comp")
 
     # step 2: lists whose members are not in one component yet. A set can't link if too much of it is in no other set
     # of such lists: first by sketches (but for the same chance), then by full sets
     member = shared.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).select("value", "cls", "n", "comp")
-    member = ws.write(_open_lists(member), "open")
+    member = ws.write(_open_lists(member, n_shared), "open")
     near = member.select("cls").distinct().join(sketches, "cls")
     alone = k - least_shared(percent / 100, k, miss)
     most_alone = F.when(F.col("n_shingles") >= k, F.lit(alone)).otherwise(F.greatest(F.lit(0), F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100 * 0.6)))
@@ -272,13 +282,14 @@ def _classes(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64, in
     full = full_sets(ws.write(near, "near"), "full2")
     sizes = full.select("cls", (F.length("full") / 8).cast("long").alias("n"))
     held = sizes.join(private_counts(full, "full"), "cls", "left").select("cls", (F.col("n") - F.coalesce("private", F.lit(0))).alias("shared"), "n").filter(F.col("shared") * 100 >= F.col("n") * percent)
-    member = _open_lists(member.join(ws.write(held.select("cls", "shared"), "held"), "cls"))
+    member = _open_lists(member.join(ws.write(held.select("cls", "shared"), "held"), "cls"), n_shared)
     member = ws.write(member.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")), "members")
     # the list's largest component is in one already: only pairs with a member of another one matter
     per_comp = member.groupBy("value", "comp").agg(F.count("*").alias("c"))
-    largest = per_comp.groupBy("value").agg(F.max(F.struct("c", "comp")).alias("x")).select("value", F.col("x.comp").alias("major"))
-    member = ws.write(member.join(largest, "value").withColumn("minor", F.col("comp") != F.col("major")).drop("major"), "placed")
-    per = member.groupBy("value", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("all"), F.ceil(F.count_if("minor") / block).cast("int").alias("minors"))
+    largest = per_comp.groupBy("value").agg(F.sum("c").alias("members"), F.max(F.struct("c", "comp")).alias("x")).select("value", "members", F.col("x.comp").alias("major"))
+    member = ws.write(join_spread(member, largest, ["value"], "cls", n_shared).withColumn("minor", F.col("comp") != F.col("major")).drop("major"), "placed")
+    blocks_of = lambda rows, n: F.ceil(F.greatest(rows / block, F.coalesce(n, F.lit(0)) * 8 / block_bytes)).cast("int")
+    per = member.groupBy("value", "band").agg(F.count("*").alias("members"), blocks_of(F.count("*"), F.sum("n")).alias("all"), blocks_of(F.count_if("minor"), F.sum(F.when(F.col("minor"), F.col("n")))).alias("minors"))
 
     def spots(column: str, sub: str) -> DataFrame:
         return per.filter(F.col(column) > 0).select("value", "band", F.explode(F.sequence(F.lit(0), F.col(column) - 1)).alias(sub))
@@ -287,7 +298,7 @@ def _classes(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64, in
     around = spots("all", "q_sub").select("value", F.col("band").alias("q_band"), "q_sub", F.explode(F.array(*[F.col("band") + i for i in range(-2, 3)])).alias("band"))
     meet = spots("minors", "p_sub").join(around, ["value", "band"]).select("value", F.col("band").alias("p_band"), "p_sub", "q_band", "q_sub")
     spot = lambda column: F.pmod(F.xxhash64("cls", "n"), F.col(column).cast("long")).cast("int")
-    at = member.join(per, ["value", "band"])
+    at = join_spread(member, per, ["value", "band"], "cls", n_shared)
     cols = ["value", "p_band", "p_sub", "q_band", "q_sub", "left", "cls", "n", "shared", "comp", "minor"]
     left = at.filter("minor").select("value", F.col("band").alias("p_band"), spot("minors").alias("p_sub"), F.lit(True).alias("left"), "cls", "n", "shared", "comp", "minor").join(meet, ["value", "p_band", "p_sub"])
     right = at.select("value", F.col("band").alias("q_band"), spot("all").alias("q_sub"), F.lit(False).alias("left"), "cls", "n", "shared", "comp", "minor").join(meet, ["value", "q_band", "q_sub"])
@@ -296,7 +307,7 @@ def _classes(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64, in
     ws.drop("full2")
     comp = ws.write(connected_components(ws, links.unionByName(more), "cd"), "components")
 
-    ws.drop("lists", "shared", "open")
+    ws.drop("shared", "open", "members", "placed", "held", "near")
     names = first.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     return sets.select("doc_id", "cls", "n_shingles"), names
 
@@ -315,6 +326,7 @@ def near_duplicates(docs: DataFrame, **params) -> DataFrame:
 
 
 _ID, _NO_ID, _NO_SET = 0, 1, 2  # kinds of rows
+_KEY = ["_cls", "_id", "_kind"]
 
 
 @tidy
@@ -343,7 +355,7 @@ def _row_keys(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
         at = np.sort(np.unique(key, axis=0, return_index=True)[1])
         key = key[at]
         out = batch.drop_columns(["_text", "_id"]).take(pa.array(at))
-        yield pa.RecordBatch.from_arrays([*out.columns, *(pa.array(key[:, j]) for j in range(3))], names=[*out.schema.names, "_cls", "_id", "_kind"])
+        yield pa.RecordBatch.from_arrays([*out.columns, *(pa.array(key[:, j]) for j in range(3))], names=[*out.schema.names, *_KEY])
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, **params) -> DataFrame:
@@ -357,8 +369,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, **params) -> DataFrame
     best = names.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("x"))
     kind = F.when(F.col("x.none"), F.lit(_NO_ID)).otherwise(F.lit(_ID)).cast("long")
     best = best.select(F.col("x.cls").alias("_cls"), F.coalesce("x.doc_id", F.lit(0)).cast("long").alias("_id"), kind.alias("_kind"), F.lit(True).alias("_best"))
-    key = ["_cls", "_id", "_kind"]
-    schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in key)])
-    rows = docs.select("*", F.col("text").cast("string").alias("_text"), F.col("doc_id").cast("long").alias("_id")).mapInArrow(partial(_row_keys, n=words), schema)
-    out = rows.join(best, key, "left").filter((F.col("_kind") == _NO_SET) | F.col("_best"))
-    return out.dropDuplicates(key).select(docs.columns)
+    # the columns go by number meanwhile: they may have any names
+    fields = [StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
+    own = [F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    schema = StructType([*fields, *(StructField(c, LongType()) for c in _KEY)])
+    rows = docs.select(*own, F.col("text").cast("string").alias("_text"), F.col("doc_id").cast("long").alias("_id")).mapInArrow(partial(_row_keys, n=words), schema)
+    out = rows.join(best, _KEY, "left").filter((F.col("_kind") == _NO_SET) | F.col("_best"))
+    return out.dropDuplicates(_KEY).select(*[F.col(f.name).alias(c) for f, c in zip(fields, docs.columns, strict=True)])

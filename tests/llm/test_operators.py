@@ -576,9 +576,43 @@ def test_dropping_near_duplicates_goes_by_row_not_by_id(spark):
     """Rows with null or repeated ids: one of each component stays, and each row without shingles."""
     a, b = prose(40, 1), prose(40, 2)
     rows = [(5, a), (5, b), (3, b), *[(None, prose(30, 10 + i)) for i in range(6)], (None, prose(30, 10)), (None, b), (None, None), (None, ""), (8, None), (8, " ")]
-    stay = minhash.drop_near_duplicates(frame(spark, rows).repartition(3)).collect()
-    want = [(5, a), (3, b), *[(None, prose(30, 10 + i)) for i in range(6)], (None, None), (None, ""), (8, None), (8, " ")]
-    assert key((r.doc_id, r.text) for r in stay) == key(want)
+    df = frame(spark, rows).withColumns({c: F.lit(7) for c in ("_cls", "_id", "_kind", "_best", "_text", "_kept_key", "c0", "a.b")})
+    for order in (df.repartition(3), df.orderBy("text"), df.orderBy(F.desc("doc_id"))):
+        stay = minhash.drop_near_duplicates(order)
+        assert stay.columns == df.columns and stay.schema["_cls"].dataType == df.schema["_cls"].dataType
+        stay = stay.collect()
+        assert all(r["a.b"] == r["_kept_key"] == 7 for r in stay)
+        got = key((r.doc_id, r.text) for r in stay)
+        assert got == key(want_rows(a, b))
+
+
+def want_rows(a, b):
+    return [(5, a), (3, b), *[(None, prose(30, 10 + i)) for i in range(6)], (None, None), (None, ""), (8, None), (8, " ")]
+
+
+def test_minhash_with_frequent_lists_and_small_blocks(spark, monkeypatch):
+    """Joins that deal frequent keys over tasks, and blocks bounded by bytes, change nothing."""
+    from tessera.llm import common
+
+    was = common.join_spread
+    monkeypatch.setattr(minhash, "join_spread", lambda big, small, keys, by, rows, how="inner": was(big, small, keys, by, rows, how))
+    monkeypatch.setattr(common, "max", lambda *a: 3 if a and a[0] == 512 else max(*a), raising=False)  # every key with over three rows
+    rows = [(i, edited(prose(120, 5000 + i % 3), 30, i)) for i in range(60)] + [(100 + i, edited(prose(90, 6000), 8, i)) for i in range(30)]
+    got = minhash.near_duplicates(frame(spark, rows), words=3, percent=85, block_bytes=4000).collect()
+    assert key((r.doc_id, r.n_shingles, r.component_id) for r in got) == key(brute_components(rows, 3, 85))
+
+
+def test_workspaces_are_deleted(spark):
+    import os
+
+    from tessera.llm.common import scratch, shared_dir
+
+    root = shared_dir(spark).removeprefix("file://")
+    was = set(os.listdir(root))
+    with scratch():
+        assert minhash.near_duplicates(frame(spark, [(1, "a b c"), (2, "a b c")])).count() == 2
+        assert set(os.listdir(root)) > was
+    assert set(os.listdir(root)) == was
 
 
 def test_minhash_bounds():
