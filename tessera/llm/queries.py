@@ -81,20 +81,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # ---------------------------------------------------------------- SQL
 OP4_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)
 ), o AS (
   SELECT *, row_number() OVER w AS n, lag(role) OVER w AS before,
     length(regexp_replace(replace(role, '\', '\\'), '([<\[])(s>|/s>|INST\]|/INST\]|TURN\])', '\1\\\2', 'g')) AS role_n,
     length(regexp_replace(replace(text, '\', '\\'), '([<\[])(s>|/s>|INST\]|/INST\]|TURN\])', '\1\\\2', 'g')) AS text_n
-  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+  FROM t WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text)
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(text_n + CASE WHEN before IS NOT DISTINCT FROM role THEN length('[TURN]') ELSE length('<s>[INST][/INST]</s>') + role_n END) AS BIGINT) AS formatted_chars
-FROM o GROUP BY conv_id
+FROM o GROUP BY conv_id, alone
 """
 
 

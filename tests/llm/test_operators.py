@@ -224,8 +224,28 @@ def test_chats(spark):
         assert back[c].loss_text == loss and digest[c].loss_chars == len(loss) and digest[c].formatted_chars == len(back[c].formatted)
         assert digest[c].turns_sha256 == hashlib.sha256("".join(f"{ro}\n{x}\n" for _, ro, x in turns).encode()).hexdigest()
         assert digest[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and digest[c].n_turns == len(turns)
-    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = chat.digests(out)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and chat.format_chats(df.filter("conv_id > 99")).count() == 0
+    # rows without a conversation's id are conversations of their own
+    lone = spark.createDataFrame([(None, i, "assistant", f"t{i}") for i in range(5)], "conv_id long, turn long, role string, text string")
+    assert sorted(r.loss_text for r in chat.read_chats(chat.format_chats(lone)).collect()) == [f"t{i}" for i in range(5)]
+
+
+def test_long_chats_take_work_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        df = spark.range(n).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('t', id) text")
+        out = chat.format_chats(df).cache()
+        start = time.time()
+        out.count()
+        took = time.time() - start
+        row = chat.read_chats(out).collect()[0]
+        assert len(row.turns) == n and row.loss_text == "".join(f"t{i}" for i in range(1, n, 2))
+        return took
+
+    seconds(100)
+    assert seconds(20_000) < 15
 
 
 # ---------------------------------------------------------------- 5
