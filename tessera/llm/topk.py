@@ -1,17 +1,22 @@
 """Exact top-k search by inner product over norm-sorted vectors.
 
-Components become integers, floor(256 * x), so scores are exact. Vectors are dealt into blocks by descending length.
-Each block of queries first searches the block of longest vectors, which gives every query a k-th best score so far;
-a later block is visited only if its longest vector could beat that of some query of the block (Cauchy-Schwarz). In a
-task, vectors go by descending length in portions; an orthogonal rotation (from the SVD of a bounded sample) puts most
-of the length in the leading coordinates, a partial sum over these plus the product of the residual lengths bounds the
-score, and only vectors whose bound reaches the query's k-th best score are multiplied out, in integers. Any rotation
-gives right results; the sample only makes bounds tight.
-
-Defined results: vectors that are null, empty, hold null or non-finite components, or have another length than most
-take no part. Zero vectors do. Equal scores rank by smaller vec_id (null last). Repeated rows are candidates of their own; rows with the query's
-own vec_id are none. With fewer than k candidates all are given; an empty table gives no rows. Other columns are
-ignored.
+Components become integers, floor(256 * x), so scores are exact. Vectors are written once, in order of descending
+length, each with its components turned by an orthogonal rotation (from the SVD of a bounded sample) that puts most of
+the length in the leading coordinates. Queries go in portions of bounded size, which are broadcast. First the longest
+vectors, a bounded number, give every query a k-th best score so far. Then each task goes through its vectors by
+descending length, a block at a time: a block is left out if its longest vector can't beat the k-th best score of any
+query (Cauchy-Schwarz). In a block a partial sum over the leading coordinates plus the product of the residual lengths
+bounds each score, and only vectors whose bound reaches the query's k-th best score are multiplied out, in integers. A
+task gives at most k rows for each query. Any rotation gives right results; the sample only makes bounds tight.
+
+Vectors aren't shuffled but for their order; the driver holds one portion of queries at a time.
+
+Defined results: vectors that are null, empty, or hold null or non-finite components take no part. Vectors of another
+length than the query's aren't candidates: each length is searched by itself. Zero vectors take part. Equal scores rank
+by smaller vec_id (null last). Repeated rows are candidates of their own; rows with the query's own vec_id are none, and
+a query that occurs in several rows gets its best of all of them. With fewer than k candidates all are given; an empty
+table gives no rows. Vectors so long that products could leave 64 bits (256 * length of 2^31 or more) are an error.
+Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,19 +29,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Workspace
-from tessera.llm.vectors import usable
+from tessera.llm.common import Workspace, tidy
+from tessera.llm.vectors import lengths, usable
 
-ITEMS, QUERIES, PORTION = 8192, 512, 1024
+ITEMS, QUERIES, PORTION = 8192, 8192, 1024  # longest vectors searched first; queries of a portion; vectors of a block
+GROUP = 512  # queries bounded at once
+MOST = 2.0**31  # no vector is as long
+_NO_ID = 2**63 - 1
 
 
+@tidy
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, x (int64 components as bytes), norm."""
+    """vec_id, d, x (int64 components as bytes), norm, for vectors of any lengths."""
     for batch in batches:
-        if batch.num_rows:
-            x = np.floor(256 * batch.column("v").flatten().to_numpy(zero_copy_only=False)).astype(np.int64).reshape(batch.num_rows, -1)
-            norm = np.sqrt((x.astype(np.float64) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(norm)], names=["vec_id", "x", "norm"])
+        v = batch.column("v")
+        x = np.floor(256 * v.flatten().to_numpy(zero_copy_only=False))
+        ends = np.cumsum(batch.column("d").to_numpy())
+        norm = np.sqrt(np.add.reduceat(x**2, ends - batch.column("d").to_numpy())) if len(ends) else np.zeros(0)
+        if len(norm) and not norm.max() < MOST:
+            raise ValueError("vectors are too long for scores of 64 bits")
+        x = x.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("d"), pa.array([r.tobytes() for r in np.split(x, ends[:-1])] if len(ends) else [], pa.binary()), pa.array(norm)], names=["vec_id", "d", "x", "norm"])
 
 
 def rotation(sample: np.ndarray) -> np.ndarray:
@@ -44,102 +57,116 @@ def rotation(sample: np.ndarray) -> np.ndarray:
     return np.linalg.svd(sample.T @ sample)[0] if len(sample) else np.eye(sample.shape[1])
 
 
-def search(q_id: np.ndarray, q: np.ndarray, floor_: np.ndarray, x_id: np.ndarray, x: np.ndarray, rot: np.ndarray, k: int, lead: int = 16) -> tuple[list, list, list]:
-    """Query, vector and score of each query's best k among x (int64) that reach the query's ``floor_``."""
-    norm = np.linalg.norm(x.astype(np.float64), axis=1)
-    order = np.argsort(-norm, kind="stable")
-    x_id, x, norm = x_id[order], x[order], norm[order]
-    xr, qr = x @ rot, q @ rot
-    q_norm = np.linalg.norm(q.astype(np.float64), axis=1)
-    res = lambda y: np.sqrt(np.maximum((y[:, lead:] ** 2).sum(1), 0))
-    xl, ql, x_res, q_res = xr[:, :lead], qr[:, :lead], res(xr), res(qr)
-    slack = 1e-9 * (1 + q_norm * (norm[0] if len(norm) else 0))  # rounding of the bounds
-    best: list[list[tuple[int, int]]] = [[] for _ in q_id]
-    kth = floor_.astype(np.float64)
-    for a in range(0, len(x), PORTION):
-        open_ = np.flatnonzero(q_norm * norm[a] + slack >= kth)
-        if not len(open_):
-            break
-        b = slice(a, a + PORTION)
-        bound = ql[open_] @ xl[b].T + q_res[open_][:, None] * x_res[b][None, :]
-        hit, at = np.nonzero((bound + slack[open_][:, None] >= kth[open_][:, None]) & (x_id[b][None, :] != q_id[open_][:, None]))
-        if not len(hit):
-            continue
-        score = np.einsum("ij,ij->i", q[open_[hit]], x[a + at])
-        each, since = np.unique(hit, return_index=True)  # hits are in order of queries
-        for i, lo, hi in zip(each, since, np.append(since[1:], len(hit)), strict=True):
-            o, mine = open_[i], slice(lo, hi)
-            found = best[o] + [(-int(s), int(v)) for s, v in zip(score[mine], x_id[a + at[mine]], strict=True) if s >= kth[o]]
-            best[o] = sorted(found)[:k]
-            if len(best[o]) == k:
-                kth[o] = max(kth[o], -best[o][-1][0])
-    rows = [(int(q_id[o]), v, -s) for o, found in enumerate(best) for s, v in found]
-    return tuple(map(list, zip(*rows, strict=True))) if rows else ([], [], [])
+class Search:
+    """The best k so far of some queries; vectors come in any number of batches."""
+
+    def __init__(self, q_id: np.ndarray, q: np.ndarray, kth: np.ndarray, rot: np.ndarray, k: int, lead: int = 16):
+        self.id, self.q, self.rot, self.k, self.lead = q_id, q, rot, k, lead
+        self.norm = np.linalg.norm(q.astype(np.float64), axis=1)
+        self.kth = kth.astype(np.float64)
+        turned = q @ rot
+        self.first, self.rest = turned[:, :lead], self.residual(turned)
+        self.best: list[list[tuple[int, int]]] = [[] for _ in q_id]
+
+    def residual(self, turned: np.ndarray) -> np.ndarray:
+        return np.sqrt((turned[:, self.lead :] ** 2).sum(1))
+
+    def meet(self, x_id: np.ndarray, x: np.ndarray) -> None:
+        """Vectors in any order; those of descending length let more blocks be left out."""
+        norm = np.linalg.norm(x.astype(np.float64), axis=1)
+        for a in range(0, len(x), PORTION):
+            b = slice(a, a + PORTION)
+            slack = 1e-9 * (1 + self.norm * norm[b].max())  # rounding of the bounds
+            open_ = np.flatnonzero(self.norm * norm[b].max() + slack >= self.kth)
+            if not len(open_):
+                continue
+            turned = x[b] @ self.rot
+            first, rest = turned[:, : self.lead], self.residual(turned)
+            for g in range(0, len(open_), GROUP):
+                o = open_[g : g + GROUP]
+                bound = self.first[o] @ first.T + self.rest[o][:, None] * rest
+                hit, at = np.nonzero((bound + slack[o][:, None] >= self.kth[o][:, None]) & (x_id[b][None, :] != self.id[o][:, None]))
+                if len(hit):
+                    self._verify(o[hit], x_id[b][at], x[b][at])
+
+    def _verify(self, of: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        score = np.einsum("ij,ij->i", self.q[of], x)
+        good = np.flatnonzero(score >= self.kth[of])
+        order = good[np.lexsort((ids[good], -score[good], of[good]))]
+        each, since = np.unique(of[order], return_index=True)
+        for o, lo, hi in zip(each.tolist(), since.tolist(), np.append(since[1:], len(order)).tolist(), strict=True):
+            mine = order[lo : min(hi, lo + self.k)]
+            self.best[o] = sorted(self.best[o] + list(zip((-score[mine]).tolist(), ids[mine].tolist(), strict=True)))[: self.k]
+            if len(self.best[o]) == self.k:
+                self.kth[o] = max(self.kth[o], -self.best[o][-1][0])
+
+    def rows(self) -> pa.RecordBatch:
+        found = [(int(self.id[o]), v, -s) for o, best in enumerate(self.best) for s, v in best]
+        cols = list(zip(*found, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
 
 _FOUND = "query_id long, vec_id long, score long"
 
 
-def _search_block(rows: pa.Table, rot: np.ndarray, k: int) -> pa.Table:
-    is_q = rows.column("query").to_numpy(zero_copy_only=False)
-    ids = rows.column("vec_id").fill_null(_NO_ID).to_numpy()
-    x = np.stack([np.frombuffer(v, np.int64) for v in rows.column("x").to_pylist()])
-    kth = rows.column("kth").fill_null(-(2**62)).to_numpy()
-    q, v, s = search(ids[is_q], x[is_q], kth[is_q], ids[~is_q], x[~is_q], rot, k)
-    return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.int64())})
+def _matrix(rows: pa.Table | pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and components."""
+    x = rows.column("x")
+    flat = b"".join(x.to_pylist())
+    return rows.column("vec_id").fill_null(_NO_ID).to_numpy(), np.frombuffer(flat, np.int64).reshape(len(x), d)
 
 
-_NO_ID = 2**63 - 1
+@tidy
+def _searched(batches: Iterator[pa.RecordBatch], queries, rot: np.ndarray, d: int, k: int) -> Iterator[pa.RecordBatch]:
+    task = Search(*queries.value, rot, k)
+    for batch in batches:
+        task.meet(*_matrix(batch, d))
+    yield task.rows()
 
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+@tidy
+def _started(batches: Iterator[pa.RecordBatch], longest, rot: np.ndarray, d: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Queries with kth, the k-th best score among the longest vectors (null if there are fewer)."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, QUERIES):
+            part = batch.slice(i, QUERIES)
+            ids, q = _matrix(part, d)
+            task = Search(ids, q, np.full(len(q), -(2.0**62)), rot, k)
+            task.meet(*longest.value)
+            kth = [-best[-1][0] if len(best) == k else None for best in task.best]
+            yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("x"), pa.array(kth, pa.int64())], names=["vec_id", "x", "kth"])
+
+
+def _search(ws: Workspace, rows: DataFrame, d: int, is_query: Column, k: int, sample: int, seed: int) -> list[DataFrame]:
+    """What each portion of the queries of length d found, at most k rows for each query and task."""
+    spark, sc = rows.sparkSession, rows.sparkSession.sparkContext
+    rows = rows.filter(F.col("d") == d).select("vec_id", "x", "norm")
+    some = rows.select("x").orderBy(F.xxhash64("vec_id", "x", F.lit(seed))).limit(sample).toArrow()
+    rot = rotation(np.frombuffer(b"".join(some.column("x").to_pylist()), np.int64).reshape(-1, d).astype(np.float64))
+    # in order of length; equal lengths, any number of them, by a hash
+    items = ws.write(rows.repartitionByRange(F.desc("norm"), F.xxhash64("vec_id", "x")).sortWithinPartitions(F.desc("norm")), f"items{d}")
+    longest = sc.broadcast(_matrix(items.orderBy(F.desc("norm")).limit(ITEMS).select("vec_id", "x").toArrow(), d))
+    queries = ws.write(items.filter(is_query).select("vec_id", "x").mapInArrow(partial(_started, longest=longest, rot=rot, d=d, k=k), "vec_id long, x binary, kth long"), f"queries{d}")
+    portions = -(-queries.count() // QUERIES)
+    out = []
+    for p in range(portions):
+        mine = queries.filter(F.pmod(F.xxhash64("vec_id", "x"), F.lit(portions)) == p).toArrow()  # about QUERIES rows
+        given = sc.broadcast((*_matrix(mine, d), mine.column("kth").fill_null(-(2**62)).to_numpy()))
+        found = items.select("vec_id", "x").mapInArrow(partial(_searched, queries=given, rot=rot, d=d, k=k), _FOUND)
+        out.append(ws.write(found, f"found{d}_{p}"))
+        given.unpersist()
+    return out
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = 20_000, seed: int = 3) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for each query's best k. ``is_query`` is a condition on vec_id."""
-    spark = vectors.sparkSession
-    ws = Workspace(spark, "topk")
-    rows = ws.write(usable(vectors).filter("v is not null").mapInArrow(_packed, "vec_id long, x binary, norm double"), "rows")
-    n = rows.count()
-    n_blocks = max(1, -(-n // ITEMS))
-    some = rows.select("x").orderBy(F.xxhash64("vec_id", "x", F.lit(seed))).limit(sample).toArrow().column("x").to_pylist()
-    rot = rotation(np.stack([np.frombuffer(v, np.int64) for v in some]).astype(np.float64)) if some else np.eye(1)
-    cuts = sorted(set(rows.approxQuantile("norm", [i / n_blocks for i in range(1, n_blocks)], 0.1 / n_blocks)), reverse=True) if n_blocks > 1 else []
-    # longest first; equal lengths (any number) are spread by a hash within their block
-    block = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("norm") < c)) if cuts else F.lit(0)
-    items = rows.withColumn("norm_block", block)
-    counts = {r["norm_block"]: r["n"] for r in items.groupBy("norm_block").agg(F.count("*").alias("n")).collect()}  # a row per ITEMS vectors
-    parts = F.lit(1)
-    for b, c in counts.items():
-        if c > 2 * ITEMS:
-            parts = F.when(F.col("norm_block") == b, -(-c // ITEMS)).otherwise(parts)
-    spread = lambda of, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), of.cast("long")).cast("int")
-    items = ws.write(items.withColumn("sub", spread(parts, 1)), "items")
-    queries = rows.filter(is_query)
-    n_queries = queries.count()
-    queries = ws.write(queries.withColumn("qb", spread(F.lit(max(1, -(-n_queries // QUERIES))), 2)), "queries")
-    blocks = items.groupBy("norm_block", "sub").agg(F.max("norm").alias("longest"))
-    first = min(counts, default=0)
-
-    def visit(pairs: DataFrame, floors: DataFrame) -> DataFrame:
-        mine = queries.join(floors, queries.vec_id.eqNullSafe(floors.query_id), "left").join(pairs, "qb").select("qb", "norm_block", "sub", F.lit(True).alias("query"), "vec_id", "x", "kth")
-        theirs = items.join(pairs, ["norm_block", "sub"]).select("qb", "norm_block", "sub", F.lit(False).alias("query"), "vec_id", "x", F.lit(None).cast("long").alias("kth"))
-        work = mine.unionByName(theirs).groupBy("qb", "norm_block", "sub")
-        return work.applyInArrow(lambda t: _search_block(t, rot, k), _FOUND)
-
-    qbs = queries.select("qb").distinct()
-    none = spark.createDataFrame([], "query_id long, kth long")
-    start = ws.write(visit(qbs.withColumns({"norm_block": F.lit(first), "sub": F.lit(0)}), none), "start") if n else spark.createDataFrame([], _FOUND)
-    kth = ws.write(_ranked(start, k).groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).filter(F.col("n") == k).select("query_id", "kth"), "kth")
-    # a block is visited if its longest vector could reach the k-th best score of one of the block's queries
-    need = queries.join(kth, queries.vec_id.eqNullSafe(kth.query_id), "left").groupBy("qb").agg(F.min(F.when(F.col("kth") > 0, F.col("kth") / F.greatest("norm", F.lit(1e-300))).otherwise(F.lit(0.0))).alias("least"))
-    shapes = [(b, s) for b, c in counts.items() for s in range(-(-c // ITEMS) if c > 2 * ITEMS else 1) if (b, s) != (first, 0)]
-    if shapes:
-        every = need.withColumn("to", F.explode(F.array(*[F.struct(F.lit(b).alias("norm_block"), F.lit(s).alias("sub")) for b, s in shapes]))).select("qb", "least", "to.*")
-        pairs = every.join(blocks, ["norm_block", "sub"]).filter(F.col("longest") * (1 + 1e-9) >= F.col("least")).select("qb", "norm_block", "sub")
-        start = start.unionByName(visit(pairs, kth))
-    out = _ranked(start, k)
+    ws = Workspace(vectors.sparkSession, "topk")
+    rows = ws.write(usable(vectors).filter("v is not null").mapInArrow(_packed, "vec_id long, d int, x binary, norm double"), "rows")
+    found = vectors.sparkSession.createDataFrame([], _FOUND)
+    for d in lengths(rows):
+        for part in _search(ws, rows, d, is_query, k, sample, seed):
+            found = found.unionByName(part)
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
     back = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
     return out.select(back("query_id").alias("query_id"), F.col("rank").cast("int").alias("rank"), back("vec_id").alias("vec_id"), "score")

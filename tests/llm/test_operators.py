@@ -106,8 +106,9 @@ def test_components(spark):
 # ---------------------------------------------------------------- 1
 def brute_links(vectors, threshold):
     unit = [None if v is None or any(x is None or not math.isfinite(x) for x in v) or not any(v) else np.array(v) / np.linalg.norm(v) for _, v in vectors]
+    same = lambda i, j: unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j])
     n = len(vectors)
-    hit = [[i != j and unit[i] is not None and unit[j] is not None and float(unit[i] @ unit[j]) >= threshold for j in range(n)] for i in range(n)]
+    hit = [[i != j and same(i, j) and float(unit[i] @ unit[j]) >= threshold for j in range(n)] for i in range(n)]
     a, b = np.nonzero(np.array(hit))
     label = embed_dedup.stars(a, b, n)
     ids = [v for v, _ in vectors]
@@ -115,8 +116,8 @@ def brute_links(vectors, threshold):
     return [(ids[i], sum(hit[i]), least[int(label[i])] if unit[i] is not None else ids[i]) for i in range(n)]
 
 
-@pytest.mark.parametrize("block", [None, 7])
-def test_embedding_dedup(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "target"), [(None, 0.99), (7, 0.99), (9, 1.0)])
+def test_embedding_dedup(spark, monkeypatch, block, target):
     if block:  # many blocks for each region
         monkeypatch.setattr(embed_dedup, "OWN", block)
         monkeypatch.setattr(embed_dedup, "MET", 2 * block)
@@ -127,8 +128,10 @@ def test_embedding_dedup(spark, monkeypatch, block):
     rows += [(200 + i, (base[1] + 0.45 * rng.standard_normal(8)).tolist()) for i in range(25)]
     rows += [(300 + i, base[2].tolist()) for i in range(5)] + [(300, base[2].tolist()), (310, (3 * base[2]).tolist())]
     rows += [(400, None), (401, [0.0] * 8), (402, [None] + [1.0] * 7), (403, [float("nan")] + [1.0] * 7), (404, [float("inf")] + [1.0] * 7), (405, []), (None, base[3].tolist())]
-    df = spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<double>, n_links int")
-    got = embed_dedup.near_duplicates(df).collect()
+    rows += [(500 + i, (base[4][:3] + 0.2 * rng.standard_normal(3)).tolist()) for i in range(9)] + [(520, [2.0]), (521, [3.0]), (522, [-1.0])]  # other lengths
+    rows += [(600, [0.9, math.sqrt(1 - 0.9 * 0.9)]), (601, [1.0, 0.0])]  # at the threshold
+    df = spark.createDataFrame([(a, b, 1, 2, 3) for a, b in rows], "vec_id long, embedding array<double>, n_links int, key int, cell int")
+    got = embed_dedup.near_duplicates(df, target=target).collect()
     assert key((r.vec_id, r.n_links, r.component_id) for r in got) == key(brute_links(rows, 0.9))
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     for few in (rows[:1], rows[61:67], []):
@@ -136,6 +139,20 @@ def test_embedding_dedup(spark, monkeypatch, block):
         assert embed_dedup.near_duplicates(df).count() == len(few)
 
 
+def test_embedding_links_just_above_the_threshold(spark):
+    """Pairs at cosine 0.905, the hardest to find: the target's share of them, and all if asked for."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((2000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.standard_normal(x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    y = 0.905 * x + math.sqrt(1 - 0.905**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(np.concatenate((x, y)).tolist())], "vec_id long, embedding array<double>")
+    truth = int((np.triu(np.concatenate((x, y)) @ np.concatenate((x, y)).T >= 0.9, 1)).sum())
+    share = [embed_dedup.near_duplicates(df, target=t, per_cell=16).agg(F.sum("n_links")).first()[0] / 2 / truth for t in (0.99, 1.0)]
+    assert 0.97 < share[0] <= 1 and share[1] == 1
+
+
 def test_index_recall_and_traversal():
     rng = np.random.default_rng(2)
     d1, d2 = rng.random(6), rng.random(9)
@@ -158,15 +175,18 @@ def test_top_k(spark, monkeypatch):
     rows = [(i, (rng.standard_normal(6) * 10 ** rng.uniform(-1, 1)).tolist()) for i in range(400)]
     rows += [(1000 + i, rows[7][1]) for i in range(8)] + [(50, rows[50][1])]  # ties, a repeated row
     rows += [(2000, None), (2050, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2100, [float("nan")] * 6), (2101, []), (2150, [0.0] * 6), (2102, [1.0])]
+    rows += [(3000 + i, rng.standard_normal(2).tolist()) for i in range(120)] + [(3150, [1.0] * 7)]  # other lengths: searched by themselves, one has no candidate
     df = spark.createDataFrame([(a, b, 0) for a, b in rows], "vec_id long, embedding array<double>, rank int")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()]
-    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v and len(v) == 6 and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
     for qid in sorted({i for i, _ in ok if i % 50 == 0}):
         qs = [v for i, v in ok if i == qid]
-        best = sorted(((-sum(a * b for a, b in zip(v, x, strict=True)), i) for v in qs for i, x in ok if i != qid))[:5]
+        best = sorted(((-sum(a * b for a, b in zip(v, x, strict=True)), i) for v in qs for i, x in ok if i != qid and len(x) == len(v)))[:5]
         want += [(qid, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert sorted(got) == sorted(want)
+    with pytest.raises(Exception, match="too long"):
+        topk.top_k(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert topk.top_k(none, F.col("vec_id") % 50 == 0).count() == 0
     one = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
