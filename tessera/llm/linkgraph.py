@@ -5,14 +5,16 @@ number of such pages. Personalised PageRank carries trust along links and distru
 blocked ones is distrusted). A host is blocked when its distrust is over ``threshold`` percent of both together.
 Scores are integers (billionths of a page, compared as shares of all trusted and distrusted pages), so the result
 doesn't depend on the order of sums or, for the same links, on the table's size. Every step rounds up: what reaches a
-host is never 0, however far away or diluted. Scores grow from 0 until none changes.
+host is never 0, however far away or diluted. Scores grow from 0 until none changes. A host without links to others
+passes nothing on: what it has stays its own and isn't dealt out to all.
 
 Everything is DataFrame operations. Links of a page to its own host carry nothing and are dropped before any shuffle;
-links are counted per pair of hosts first.
+links are counted per pair of hosts first. Joins deal out hosts with very many pages or links.
 
 Defined results: null urls and urls without ``://`` have an empty host and path, fit no rule and are allowed by the
-method, unless links say otherwise. Null html has no links. Repeated rows count and are judged each; an empty table
-gives no rows. Other columns are ignored. Rules of equal length: the first in the list wins.
+method, unless links say otherwise. Null html has no links; very long html is read whole. Repeated rows count and are
+judged each; an empty table gives no rows. Other columns, whatever their names, are ignored. Rules of equal length: the
+first in the list wins. Equal trust and distrust allow.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Workspace
+from tessera.llm.common import Workspace, join_spread
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PAGE = 10**9  # the score of one page
@@ -59,26 +61,33 @@ def propagate(ws: Workspace, seeds: DataFrame, links: DataFrame, damping: int =
 
     Scores start at 0, so that they only grow and the rounds end. Products are decimals of 38 digits.
     """
-    out_w = links.groupBy("src").agg(F.sum("w").alias("out_w"))
-    in_w = links.groupBy("dst").agg(F.sum("w").alias("in_w"))
-    links = ws.write(links.join(out_w, "src").join(in_w, "dst"), "links")
-    named = links.select(F.col("src").alias("host")).unionByName(links.select(F.col("dst").alias("host"))).distinct()
-    seeds = ws.write(seeds.join(named, "host", "full").select("host", F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust")), "seeds")
+    links = ws.write(links, "pairs")
+    n = links.count()
+    out = links.groupBy("src").agg(F.sum("w").alias("out_w"), F.count("*").alias("members"))
+    into = links.groupBy("dst").agg(F.sum("w").alias("in_w"), F.count("*").alias("members"))
+    links = ws.write(join_spread(join_spread(links, out, ["src"], "dst", n), into, ["dst"], "src", n), "links")
+    named = out.select(F.col("src").alias("host"), F.col("members").alias("n_out"), F.lit(0).cast("long").alias("n_in")).unionByName(into.select(F.col("dst").alias("host"), F.lit(0).cast("long").alias("n_out"), F.col("members").alias("n_in")))
+    named = named.groupBy("host").agg(F.sum("n_out").alias("n_out"), F.sum("n_in").alias("n_in"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    seeds = ws.write(seeds.join(named, "host", "full").select("host", *map(zero, ("trust", "distrust", "n_out", "n_in"))), "seeds")
     wide = lambda x: f"cast({x} as decimal(20,0))"
-    now, k = seeds.select("host", F.lit(0).cast("long").alias("trust"), F.lit(0).cast("long").alias("distrust")), 0
+    none = F.lit(0).cast("long")
+    now, k = seeds.select("host", none.alias("trust"), none.alias("distrust"), "n_out", "n_in"), 0
     while True:
-        forth = links.join(now.select(F.col("host").alias("src"), "trust"), "src").select(F.col("dst").alias("host"), F.expr(f"({wide('trust')} * w + out_w - 1) div out_w").alias("t"), F.lit(0).cast("long").alias("d"))
-        back = links.join(now.select(F.col("host").alias("dst"), "distrust"), "dst").select(F.col("src").alias("host"), F.lit(0).cast("long").alias("t"), F.expr(f"({wide('distrust')} * w + in_w - 1) div in_w").alias("d"))
+        givers = now.filter("n_out > 0").select(F.col("host").alias("src"), "trust", F.col("n_out").alias("members"))
+        blamed = now.filter("n_in > 0").select(F.col("host").alias("dst"), "distrust", F.col("n_in").alias("members"))
+        forth = join_spread(links, givers, ["src"], "dst", n).select(F.col("dst").alias("host"), F.expr(f"({wide('trust')} * w + out_w - 1) div out_w").alias("t"), none.alias("d"))
+        back = join_spread(links, blamed, ["dst"], "src", n).select(F.col("src").alias("host"), none.alias("t"), F.expr(f"({wide('distrust')} * w + in_w - 1) div in_w").alias("d"))
         got = forth.unionByName(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         was = now.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
-        step = seeds.join(got, "host", "left").select("host", *[F.expr(f"({100 - damping} * {wide(s)} + {damping} * {wide(f'coalesce({x}, 0)')} + 99) div 100").alias(s) for s, x in (("trust", "t"), ("distrust", "d"))])
+        step = seeds.join(got, "host", "left").select("host", *[F.expr(f"({100 - damping} * {wide(s)} + {damping} * {wide(f'coalesce({x}, 0)')} + 99) div 100").alias(s) for s, x in (("trust", "t"), ("distrust", "d"))], "n_out", "n_in")
         new = ws.write(step, f"round{k}")
         still = new.join(was, "host").filter("trust <> t0 or distrust <> d0").isEmpty()
         if k:
             ws.drop(f"round{k - 1}")
         now, k = new, k + 1
         if still:
-            return now
+            return now.select("host", "trust", "distrust")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], damping: int = 85, threshold: int = 50) -> DataFrame:
@@ -89,10 +98,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], damping: int = 85, thr
     links = host_links(read)
     ruled = read.select("page_id", "host", "path", best_rule(F.col("host"), F.col("path"), rules).alias("r")).select("page_id", "host", "path", "r.rule", "r.verdict")
     ruled = ws.write(ruled, "ruled")
-    per_host = ws.write(ruled.groupBy("host").agg(F.count_if(F.col("verdict") == "allow").alias("a"), F.count_if(F.col("verdict") == "block").alias("b")), "hosts")
-    total = per_host.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    per_host = ws.write(ruled.groupBy("host").agg(F.count_if(F.col("verdict") == "allow").alias("a"), F.count_if(F.col("verdict") == "block").alias("b"), F.count("*").alias("members")), "hosts")
+    total = per_host.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("a", "b", "members")]).first()
     seeds = per_host.select("host", (F.col("a") * PAGE).alias("trust"), (F.col("b") * PAGE).alias("distrust"))
     scores = propagate(ws, seeds, links, damping)
     share = lambda s, of, by: f"cast({s} as decimal(20,0)) * {max(total[of], 1) * by}"
     verdicts = scores.select("host", F.when(F.expr(f"{share('distrust', 'a', 100 - threshold)} > {share('trust', 'b', threshold)}"), "block").otherwise("allow").alias("by_host"))
-    return ruled.join(verdicts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "by_host", F.lit("allow")).alias("verdict"))
+    verdicts = verdicts.join(per_host.select("host", "members"), "host")
+    return join_spread(ruled, verdicts, ["host"], "page_id", total["members"]).select("page_id", "host", "path", "rule", F.coalesce("verdict", "by_host", F.lit("allow")).alias("verdict"))

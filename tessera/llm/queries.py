@@ -142,23 +142,14 @@ FROM summed WHERE epochs + CASE WHEN rest > 0 AND cum <= rest THEN 1 ELSE 0 END
 """
 
 
-def _op10_sql(rounds: int = 12, damping: int = 85, threshold: int = 50) -> str:
+def _op10_sql(damping: int = 85, threshold: int = 50) -> str:
     rules = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in RULES)
     url = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     link = r"""(?i)<a\s[^>]*?href\s*=\s*["'']?((?:[a-z][a-z0-9+.\-]*:)?//[^"''\s>]*)"""
-    steps = ""
-    for k in range(1, rounds + 1):
-        steps += f""", got{k} AS MATERIALIZED (
-  SELECT host, CAST(sum(t) AS BIGINT) AS t, CAST(sum(d) AS BIGINT) AS d FROM (
-    SELECT dst AS host, trust * w // out_w AS t, 0 AS d FROM links JOIN score{k - 1} ON src = host
-    UNION ALL SELECT src, 0, distrust * w // in_w FROM links JOIN score{k - 1} ON dst = host) GROUP BY host
-), score{k} AS MATERIALIZED (
-  SELECT host, ({100 - damping} * s.trust + {damping} * coalesce(t, 0)) // 100 AS trust, ({100 - damping} * s.distrust + {damping} * coalesce(d, 0)) // 100 AS distrust
-  FROM score0 s LEFT JOIN got{k} USING (host)
-)"""
+    step = lambda seed, got: f"({100 - damping} * {seed} + {damping} * coalesce({got}, 0) + 99) // 100"
     return f"""
-WITH parsed AS MATERIALIZED (
+WITH RECURSIVE parsed AS MATERIALIZED (
   SELECT row_number() OVER () AS row_id, page_id, coalesce({lower.format(f"regexp_extract(url, '{url}', 1)")}, '') AS host, coalesce(regexp_extract(url, '{url}', 2), '') AS path, html FROM pages
 ), rules(verdict, rule, rhost, rpath) AS (VALUES {rules}
 ), fits AS (
@@ -171,16 +162,27 @@ WITH parsed AS MATERIALIZED (
   SELECT src, {lower.format(f"regexp_extract(CASE WHEN starts_with(u, '//') THEN 'x:' || u ELSE u END, '{url}', 1)")} AS dst FROM targets
 ), counted AS (SELECT src, dst, count(*) AS w FROM named WHERE dst <> src AND dst <> '' GROUP BY src, dst
 ), links AS MATERIALIZED (
-  SELECT src, dst, w, CAST(sum(w) OVER (PARTITION BY src) AS BIGINT) AS out_w, CAST(sum(w) OVER (PARTITION BY dst) AS BIGINT) AS in_w FROM counted
+  SELECT src, dst, w, sum(w) OVER (PARTITION BY src) AS out_w, sum(w) OVER (PARTITION BY dst) AS in_w FROM counted
 ), hosts AS (
   SELECT host, count(*) FILTER (WHERE verdict = 'allow') AS a, count(*) FILTER (WHERE verdict = 'block') AS b FROM ruled GROUP BY host
-), seeds AS (
-  SELECT host, CAST(a * 1000000000 // (SELECT greatest(sum(a), 1) FROM hosts) AS BIGINT) AS trust, CAST(b * 1000000000 // (SELECT greatest(sum(b), 1) FROM hosts) AS BIGINT) AS distrust FROM hosts
-), score0 AS MATERIALIZED (
-  SELECT host, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM seeds FULL JOIN (SELECT src AS host FROM links UNION SELECT dst FROM links) USING (host)
-){steps}
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN distrust * {100 - threshold} > trust * {threshold} THEN 'block' ELSE 'allow' END) AS verdict
-FROM ruled LEFT JOIN score{rounds} USING (host)
+), seeds AS MATERIALIZED (
+  SELECT host, CAST(coalesce(a, 0) AS HUGEINT) * 1000000000 AS a, CAST(coalesce(b, 0) AS HUGEINT) * 1000000000 AS b FROM hosts FULL JOIN (SELECT src AS host FROM links UNION SELECT dst FROM links) USING (host)
+), score(k, host, trust, distrust) AS (
+  SELECT 0, host, CAST(0 AS HUGEINT), CAST(0 AS HUGEINT) FROM seeds
+  UNION ALL
+  SELECT k, host, t, d FROM (
+    SELECT p.k + 1 AS k, s.host, {step('s.a', 'g.t')} AS t, {step('s.b', 'g.d')} AS d,
+      bool_or({step('s.a', 'g.t')} <> p.trust OR {step('s.b', 'g.d')} <> p.distrust) OVER () AS moved
+    FROM seeds s JOIN score p USING (host) LEFT JOIN (
+      SELECT host, sum(t) AS t, sum(d) AS d FROM (
+        SELECT dst AS host, (trust * w + out_w - 1) // out_w AS t, CAST(0 AS HUGEINT) AS d FROM links JOIN score ON src = host
+        UNION ALL SELECT src, CAST(0 AS HUGEINT), (distrust * w + in_w - 1) // in_w FROM links JOIN score ON dst = host) GROUP BY host
+    ) g ON g.host = s.host
+  ) WHERE moved
+), last AS (SELECT host, trust, distrust FROM score WHERE k = (SELECT max(k) FROM score))
+SELECT page_id, host, path, rule,
+  coalesce(verdict, CASE WHEN distrust * (SELECT greatest(sum(a), 1) FROM hosts) * {100 - threshold} > trust * (SELECT greatest(sum(b), 1) FROM hosts) * {threshold} THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN last USING (host)
 """
 
 
