@@ -5,6 +5,15 @@ document of each group stays. 3. Mixing: what is kept is mixed to the target wei
 tree; a document that is in several epochs is as many rows. 4. SentencePiece: the ids of each row's text.
 
 All stages but the last return the columns of ``documents``.
+
+Defined results: null and empty texts have no words; the classifier scores them like others, the second stage keeps
+each that it gets, they count 0 tokens in the third and have no ids in the fourth. A null doc_id is no labelled row, so
+the classifier doesn't learn from it; rows without ids are told apart by their texts. Rows that repeat, with the same
+id or others, are near copies: one stays. Of documents with the same id and different texts each counts by itself; in
+the mix they share their order. Ties are broken by the least doc_id. Very long texts go through every stage whole. An
+empty table gives an empty result with the same columns, and without labels nothing is rejected. Columns besides those of
+``documents``, whatever their names, go through the first three stages unchanged; the last gives doc_id, lang, source,
+ids, n_ids and round_trip only.
 """
 
 from __future__ import annotations
@@ -12,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import mixing, quality, spm
-from tessera.llm.common import Workspace
+from tessera.llm.common import Workspace, scratch
 from tessera.llm.minhash import drop_near_duplicates
 from tessera.llm.queries import MIX, MIX_EPOCHS, MIX_SEED, tokenizer_file
 
@@ -43,7 +52,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = ws.write(stage(spark, docs, sf_dir), f"{k}_{name}")
+        with scratch():
+            docs = ws.write(stage(spark, docs, sf_dir), f"{k}_{name}")
         if k:
             ws.drop(f"{k - 1}_{STAGES[k - 1][0]}")
     return docs
