@@ -771,5 +771,34 @@ def test_pipeline(spark, tmp_path):
     assert json.dumps(cp.ORACLE_SQL) == "null"
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls, repeated rows and ids, a very long text, extra columns with names used inside, and an empty table."""
+    import os
+
+    import corpus_pipeline as cp
+    from tessera.llm.common import shared_dir
+
+    texts = [prose(60, i) for i in range(30)]
+    rows = [(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (29, texts[5], "en", "src1", 1), (None, texts[6], None, None, None), (None, prose(60, 99), None, None, None)]
+    rows += [(None, None, None, None, None), (50, None, "en", "src1", 0), (51, "", "en", "src1", 0), (52, prose(60_000, 7), "de", "src2", 1)]
+    odd = ("_cls", "_id", "_text", "score", "copies", "domain", "ids", "key", "train", "cls", "c0")
+    for name, some in (("full", rows), ("empty", [])):
+        path = tmp_path / name
+        spark.createDataFrame(some, DOCS).withColumns({c: F.lit("x") for c in odd}).write.parquet(str(path / "documents.parquet"))
+        spark.createDataFrame([(i, 1, 0) for i in range(0, 30, 2)] if some else [], "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
+        docs = spark.read.parquet(str(path / "documents.parquet"))
+        for k, (_, stage) in enumerate(cp.STAGES[:3]):
+            out = stage(spark, docs, str(path))
+            assert out.columns == docs.columns
+            docs = Workspace(spark, "odd").write(out, f"s{k}")
+            if k == 1 and some:
+                assert key((r.doc_id, r.text) for r in docs.collect()) == key([(i, t) for i, t in enumerate(texts)] + [(None, prose(60, 99)), (None, None), (50, None), (51, ""), (52, prose(60_000, 7))])
+        made = set(os.listdir(shared_dir(spark).removeprefix("file://")))
+        got = cp.run(spark, str(path))
+        assert got.columns == ["doc_id", "lang", "source", "ids", "n_ids", "round_trip"] and (got.count() > 0) == bool(some)
+        assert len(set(os.listdir(shared_dir(spark).removeprefix("file://"))) - made) == 1  # the result's own folder
+
+
 def test_queries_and_their_sql_have_the_same_columns(spark):
     assert set(q.oracle_sql()) <= set(q.queries()) and [int(re.match(r"op(\d+)_", n)[1]) for n in q.queries()] == list(range(1, 11))
