@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Workspace, hash_words, mix64, partitions, text_slices, tidy
+from tessera.llm.common import U64, Workspace, hash_words, mix64, partitions, ranges, text_slices, tidy
 
 HEADS_MOST, HEAD_LEAST, SUFFIXES, CONTEXTS = 8192, 16, 4096, 32
 END, START, TYPES = SUFFIXES, SUFFIXES + 1, SUFFIXES + 2 + HEADS_MOST  # types: by suffix, the end, the start, heads
@@ -262,30 +262,70 @@ class Model:
         return [1 + WIDTH + ((KINDS * second + f) << self.bits) for f in range(KINDS)]
 
 
+_ONES = np.ones(WIDTH, np.float32)
+STEP = 1024  # tokens whose outcomes are formed at once, so that they stay near the processor
+
+
+def _outcomes(model: Model, bias: np.ndarray, rows: list[np.ndarray], second: bool) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some tokens at a time (in buffers that the next ones take): summed weights of the WIDTH outcomes, their
+    exponentials, and the sums of these."""
+    z_all, w_all, e_all = np.empty((3, min(STEP, len(bias)), WIDTH), np.float32)
+    for i in range(0, len(bias), STEP):
+        at = slice(i, min(i + STEP, len(bias)))
+        z, w, e = (x[: at.stop - i] for x in (z_all, w_all, e_all))
+        np.take(model.theta, bias[at], 0, z, "clip")
+        for r, start in zip(rows, model.offsets(second), strict=True):
+            z += np.take(model.theta, r[at].astype(np.intp) + start, 0, w, "clip")
+        with np.errstate(over="ignore"):
+            total = np.exp(z, e) @ _ONES
+        if not (np.isfinite(total) & (total > 1e-30)).all():
+            z -= z.max(1, keepdims=True)
+            total = np.exp(z, e) @ _ONES
+        yield at, z, e, total
+
+
 def log_softmax(model: Model, bias: np.ndarray, rows: list[np.ndarray], second: bool) -> np.ndarray:
     """Log probabilities (natural) of the WIDTH outcomes of each token."""
-    z = model.theta[bias]
-    for r, start in zip(rows, model.offsets(second), strict=True):
-        z += model.theta[r.astype(np.int64) + start]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
-
-
-def _descend(model: Model, seen: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], second: bool, y: np.ndarray, rate: float) -> None:
-    """One step of one factor; the model's arrays change."""
-    g = np.exp(log_softmax(model, bias, rows, second))
-    g[np.arange(len(y)), y] -= 1
+    return np.concatenate([z - np.log(total)[:, None] for _, z, _, total in _outcomes(model, bias, rows, second)])
+
+
+def _log_of(model: Model, bias: np.ndarray, rows: list[np.ndarray], second: bool, y: np.ndarray) -> np.ndarray:
+    """Those of the outcomes y."""
+    out = np.empty(len(y))
+    for at, z, _, total in _outcomes(model, bias, rows, second):
+        out[at] = z.ravel().take(np.arange(len(z)) * WIDTH + y[at])
+        out[at] -= np.log(total)
+    return out
+
+
+def _sums(g: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct entries of r, how often each occurs, and the sums of its rows of g."""
+    order = np.argsort(r, kind="stable")
+    r = r[order]
+    new = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+    n = np.diff(new, append=len(r))
+    total = np.take(g, order[new], 0)
+    if len(several := np.flatnonzero(n > 1)):
+        m = n[several]
+        start = np.cumsum(m) - m
+        total[several] = np.add.reduceat(np.take(g, order[ranges(new[several], m)], 0), start)
+    return r[new].astype(np.intp), n, total
+
+
+def _descend(model: Model, seen: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], second: bool, y: np.ndarray, rate: float, g_all: np.ndarray) -> None:
+    """One step of one factor; the model's arrays change. ``g_all`` is a buffer."""
+    g = g_all[: len(y)]
+    for at, _, e, total in _outcomes(model, bias, rows, second):
+        np.divide(e, total[:, None], g[at])
+        g[at].reshape(-1)[np.arange(len(e)) * WIDTH + y[at]] -= 1
     for r, start in zip([bias.astype(np.uint16), *rows], [0, *model.offsets(second)], strict=True):
-        order = np.argsort(r, kind="stable")
-        r = r[order]
-        new = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-        u, n = r[new].astype(np.int64) + start, np.diff(new, append=len(r))
-        total = np.add.reduceat(g[order], new)
+        u, n, total = _sums(g, r)
+        u += start
         total /= np.sqrt(n, dtype=np.float32)[:, None]  # rows with many tokens step as steadily as rare ones
-        model.steps[u] += (total**2).mean(1)
-        total *= (rate / np.sqrt(model.steps[u] + 0.1))[:, None]
-        model.theta[u] -= total
+        steps = model.steps[u] + (total * total) @ _ONES / WIDTH
+        total *= (rate / np.sqrt(steps + np.float32(0.1)))[:, None]
+        model.steps[u] = steps
+        model.theta[u] = np.take(model.theta, u, 0) - total
         seen[u] += n
 
 
@@ -295,13 +335,14 @@ def train_shard(model: Model, types: list[bytes], rate: float) -> tuple[Model, n
     seen = np.zeros(len(model.theta), np.int64)
     total = sum(len(t) // 2 for t in types)
     size = min(max(total // 64, 256), 8192)  # short shards still make several steps
+    g = np.empty((size, WIDTH), np.float32)
     for x, before in _portions(types):
         of, cell = model.classes[x], model.cells[x]
         first, second = model.rows(before, of)
         for i in range(0, len(x), size):
             at = slice(i, i + size)
-            _descend(new, seen, np.zeros(len(of[at]), np.int64), [r[at] for r in first], False, of[at], rate)
-            _descend(new, seen, 1 + of[at], [r[at] for r in second], True, cell[at], rate)
+            _descend(new, seen, np.zeros(len(of[at]), np.int64), [r[at] for r in first], False, of[at], rate, g)
+            _descend(new, seen, 1 + of[at], [r[at] for r in second], True, cell[at], rate, g)
     return new, seen
 
 
@@ -356,12 +397,8 @@ def model_scores(model: Model, types: list[bytes]) -> np.ndarray:
     for x, before in _portions(types):
         of, cell = model.classes[x], model.cells[x]
         first, second = model.rows(before, of)
-        for i in range(0, len(x), 8192):
-            at = slice(i, i + 8192)
-            k = np.arange(len(x[at]))
-            p = log_softmax(model, np.zeros(len(k), np.int64), [r[at] for r in first], False)[k, of[at]].astype(np.float64)
-            p += log_softmax(model, 1 + of[at], [r[at] for r in second], True)[k, cell[at]]
-            each.append(p / np.log(10) - model.log_size[of[at], cell[at]])
+        p = _log_of(model, np.zeros(len(x), np.int64), first, False, of) + _log_of(model, 1 + of, second, True, cell)
+        each.append(p / np.log(10) - model.log_size[of, cell])
     return np.add.reduceat(np.concatenate(each), np.cumsum(n) - n) if each else np.zeros(0)  # every text has a token
 
 
@@ -428,7 +465,7 @@ def score(docs: DataFrame, rounds: int = 4, rate: float = RATE, shard_tokens: in
         shards = dealt.filter(F.col("shard") % rounds == k).repartition(tasks, "shard").groupBy("shard")
         changes = shards.applyInArrow(_trained(weights, rate), _CHANGES).groupBy("row")
         model = averaged(model, changes.agg(F.sum("w").alias("w"), F.sum("s").alias("s"), *[F.sum(f"d{j}").cast("float").alias(f"d{j}") for j in range(WIDTH)]).toArrow())  # a row per weight row
-        weights.unpersist()
+        weights.destroy()
 
     weights = sc.broadcast(model)
     scored = encoded.mapInArrow(partial(_scored, weights=weights), "uid long, doc_id long, train boolean, n_tokens long, n_known long, log_sum double, model_sum double")
