@@ -8,8 +8,8 @@ probability. Two cells meet if either's traversal visits the other, and every fo
 precision. With ``target`` 1 all links are found: cells meet unless the triangle inequality, with the largest distance
 of any vector from its codeword, rules links between them out.
 
-Equal vectors become one node with a count first. Each pair of cells belongs to the region (the first half's
-codeword) of one of them; a task gets a block of a region's own vectors and a block of those they meet, both of bounded
+Equal vectors become one node with a count first. Each pair of cells belongs to the region of one of them: regions are
+neighbouring codewords of the first half, with about ``OWN`` vectors or one codeword each. A task gets a block of a region's own vectors and a block of those they meet, both of bounded
 size, adds up link counts and emits edges that join its nodes, never all pairs. Which cells meet is a table.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Vectors
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Workspace, connected_components, ranges, tidy
 from tessera.llm.vectors import lengths, usable
 
-OWN, MET = 2048, 4096  # rows of a block
+OWN, MET, BYTES = 8192, 16384, 64 << 20  # rows of a block, and bytes of the larger one
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -75,6 +75,7 @@ class MultiIndex:
 
     probes: int | None
     radii: list[np.ndarray]  # per half and codeword the largest distance of a vector from it
+    region: np.ndarray  # of each codeword of the first half
 
     def __init__(self, sample: np.ndarray, k: int, threshold: float, target: float, seed: int):
         rng = np.random.default_rng(seed)
@@ -176,7 +177,21 @@ def _traversed(batches: Iterator[pa.RecordBatch], index: MultiIndex) -> Iterator
         for cell in batch.column("cell").to_pylist():
             found, reach = index.visited(cell)
             other = np.array([cell, *found], np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), cell, np.int32)), pa.array(other), pa.array([reach] + [None] * len(found), pa.float64())], names=["cell", "other", "reach"])
+            g = index.region[np.minimum(other, cell) // len(index.books[1])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), cell, np.int32)), pa.array(other), pa.array(g.astype(np.int32)), pa.array([reach] + [None] * len(found), pa.float64())], names=["cell", "other", "g", "reach"])
+
+
+def regions(book: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+    """The region of each codeword: neighbours along the book's widest direction share one while it has at most ``most`` vectors."""
+    middle = book - book.mean(0)
+    order = np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable") if book.shape[1] else np.arange(len(book))
+    out, held, g = np.zeros(len(book), np.int64), 0, 0
+    for c in order.tolist():
+        if held and held + sizes[c] > most:
+            held, g = 0, g + 1
+        held += sizes[c]
+        out[c] = g
+    return out
 
 
 def stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -258,13 +273,17 @@ def _found(ws: Workspace, nodes: DataFrame, d: int, n: int, threshold: float, ta
 
     # which cells meet, each pair in the region of its smaller cell; per region blocks of its own vectors and of those they meet
     filled = ws.write(celled.groupBy("cell").agg(F.count("*").alias("n")), f"filled{d}")
-    visits = ws.write(filled.select("cell").mapInArrow(partial(_traversed, index=index), "cell int, other int, reach double"), f"visits{d}")
-    reach = visits.filter("reach is not null").select("cell", "reach")
-    region = lambda c: F.expr(f"{c} div {width}").cast("int")
-    met = visits.select(region("least(cell, other)").alias("g"), F.greatest("cell", "other").alias("cell")).distinct().join(filled, "cell")
-    mine = filled.select(region("cell").alias("g"), "cell", "n")
-    blocks = mine.groupBy("g").agg(F.ceil(F.sum("n") / OWN).cast("int").alias("ob")).join(met.groupBy("g").agg(F.ceil(F.sum("n") / MET).cast("int").alias("mb")), "g")
-    plan = mine.withColumn("own", F.lit(True)).unionByName(met.select("g", "cell", "n").withColumn("own", F.lit(False))).drop("n").join(blocks, "g").join(reach, "cell")
+    sizes = np.zeros(len(index.books[0]), np.int64)
+    for r in filled.groupBy(F.expr(f"cell div {width}").alias("codeword")).agg(F.sum("n").alias("n")).collect():  # a row per codeword
+        sizes[r["codeword"]] = r["n"]
+    most_met = min(MET, max(256, BYTES // (8 * d)))
+    most_own = min(OWN, max(128, most_met // 2))
+    index.region = regions(index.books[0], sizes, most_own)
+    visits = ws.write(filled.select("cell").mapInArrow(partial(_traversed, index=index), "cell int, other int, g int, reach double"), f"visits{d}")
+    mine = visits.filter("reach is not null").select("g", "cell", "reach").join(filled, "cell")
+    met = visits.select("g", F.greatest("cell", "other").alias("cell")).distinct().join(filled, "cell")
+    blocks = mine.groupBy("g").agg(F.ceil(F.sum("n") / most_own).cast("int").alias("ob")).join(met.groupBy("g").agg(F.ceil(F.sum("n") / most_met).cast("int").alias("mb")), "g")
+    plan = mine.select("g", "cell").withColumn("own", F.lit(True)).unionByName(met.select("g", "cell").withColumn("own", F.lit(False))).join(blocks, "g").join(mine.select("cell", "reach"), "cell")
 
     # a vector goes to a block of its kind, and to all blocks of the other kind in the region
     packed = celled.select("key", "m", "v", "cell").mapInArrow(partial(_packed, dtype=dtype), "key long, m long, cell int, x binary")

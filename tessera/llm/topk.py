@@ -92,6 +92,8 @@ class Search:
     def _verify(self, of: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
         score = np.einsum("ij,ij->i", self.q[of], x)
         good = np.flatnonzero(score >= self.kth[of])
+        if not len(good):
+            return
         order = good[np.lexsort((ids[good], -score[good], of[good]))]
         each, since = np.unique(of[order], return_index=True)
         for o, lo, hi in zip(each.tolist(), since.tolist(), np.append(since[1:], len(order)).tolist(), strict=True):
