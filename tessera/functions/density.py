@@ -17,15 +17,24 @@ def adapted_radius(r, kmeans: bool = False):
     return r * np.exp(-(r**2) / 2) if kmeans else np.hypot(r, r**2 / 2) * np.exp(-(r**2) / 2)
 
 
-def difference_of_gaussians(r, upper: tuple, lower: tuple, tol: float = 1e-8):
-    """The sum of w exp(-r^2 / 2 s^2) over ``upper`` (weights, scales) less that over ``lower``, cut at 0."""
+def gaussian_side(side: tuple | float | None) -> tuple[list[float], list[float]]:
+    """Weights and deviations: given as such, one deviation of weight 1, or none."""
+    if side is None:
+        return [], []
+    return (np.ravel(side[0]).tolist(), np.ravel(side[1]).tolist()) if isinstance(side, tuple) else ([1.0], [float(side)])
+
+
+def difference_of_gaussians(r, upper: tuple | float | None, lower: tuple | float | None = None, tol: float = 1e-8):
+    """The sum of w exp(-r^2 / 2 s^2) over ``upper`` (weights, deviations) less that over ``lower``, cut at 0."""
+    upper, lower = gaussian_side(upper), gaussian_side(lower)
     if isinstance(r, Column):
         terms = [F.lit(float(sign * w)) * F.exp(-r * r / float(2 * s * s)) for sign, side in ((1, upper), (-1, lower)) for w, s in zip(*side, strict=True)]
-        return F.greatest(F.lit(0.0), sum(terms[1:], terms[0]))
+        return F.greatest(F.lit(0.0), sum(terms[1:], terms[0]) if terms else F.lit(0.0))
     r = np.asarray(r, float)
     out = np.zeros_like(r)
     for sign, (w, s) in ((1, upper), (-1, lower)):
-        out += sign * (np.asarray(w)[:, None] * np.exp(-(r**2) / (2 * np.asarray(s)[:, None] ** 2))).sum(0)
+        for weight, deviation in zip(w, s, strict=True):
+            out += sign * weight * np.exp(-(r**2) / (2 * deviation**2))
     if out.size and out.min() < -tol:
         warnings.warn("negative densities were cut to zero", stacklevel=2)
     return np.maximum(out, 0.0)

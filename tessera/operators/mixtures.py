@@ -3,38 +3,69 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tessera.functions.density import chi2_quantile, log_normal_column
-from tessera.sources.datasets import Mixture, draw_mixture, sample_mixture
+from tessera.functions.density import chi2_quantile, cholesky, log_normal_column
+from tessera.sources.datasets import Mixture, sample_mixture
 
 LEAST_DENSITY = 1e-25
 
 
-def _distances(cols: list[str] | None, vector: str | None, centroids: np.ndarray) -> list[Column]:
-    out = []
-    for c in np.asarray(centroids, float):
-        if cols:
-            out.append(F.expr(" + ".join(f"({x} - {float(v)!r}) * ({x} - {float(v)!r})" for x, v in zip(cols, c, strict=True))))
-        else:
-            point = F.array(*[F.lit(float(v)) for v in c])
-            out.append(F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), point, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    return out
+def _points(batch: pa.RecordBatch, cols: list[str] | None, vector: str | None) -> np.ndarray:
+    if cols:
+        return np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in cols], 1).reshape(-1, len(cols))
+    return batch.column(vector).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each row, the first of equals, and the squared distance: found by a matrix product,
+    those within its rounding compared by differences."""
+    square = (x**2).sum(1)
+    d = square[:, None] + (c**2).sum(1) - 2 * x @ c.T
+    best = d.min(1)
+    close = d <= (best + 1e-9 * (square + (c**2).sum(1).max()))[:, None]
+    k = close.argmax(1)
+    for i in np.flatnonzero(close.sum(1) > 1):
+        k[i] = ((x[i] - c) ** 2).sum(1).argmin()
+    return k, ((x - c[k]) ** 2).sum(1)
 
 
 def assign(df: DataFrame, centroids: np.ndarray, cols: list[str] | None = None, vector: str | None = None) -> DataFrame:
-    """``df`` with cluster (the nearest centroid, the first of equals) and distance2."""
-    best = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(k).alias("k")) for k, d in enumerate(_distances(cols, vector, centroids))]))
-    return df.withColumn("_b", best).withColumn("cluster", F.col("_b.k")).withColumn("distance2", F.col("_b.d")).drop("_b")
+    """``df`` with cluster (the nearest centroid, the first of equals) and distance2; null where a feature is null or
+    not a number, or a vector has another length."""
+    c = np.asarray(centroids, float)
+    own = [F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(cols)] if cols else [F.col(vector).cast("array<double>").alias("_v")]
+    whole = F.lit(True)
+    for x in cols or []:
+        whole = whole & F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))
+    if vector:
+        whole = F.col(vector).isNotNull() & (F.size(vector) == c.shape[1]) & ~F.coalesce(F.exists(vector, lambda v: v.isNull() | F.isnan(v.cast("double"))), F.lit(True))
+    names, kept = [f"_x{i}" for i in range(len(cols))] if cols else None, len(df.columns)
+    schema = StructType([*df.schema.fields, StructField("cluster", IntegerType()), StructField("distance2", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = batch.column("_ok").fill_null(False).to_numpy(zero_copy_only=False)
+            k, d = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            for i in range(0, batch.num_rows, step):
+                at = np.flatnonzero(ok[i : i + step])
+                if len(at):
+                    k[i + at], d[i + at] = _nearest(_points(batch.slice(i, step).take(pa.array(at)), names, "_v"), c)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(k, mask=~ok), pa.array(d, mask=~ok)], names=[*batch.schema.names[:kept], "cluster", "distance2"])
+
+    step = max(1, (1 << 20) // max(len(c), 1))
+    return df.select("*", *own, whole.alias("_ok")).mapInArrow(run, schema)
 
 
 def sse(df: DataFrame, centroids: np.ndarray, cols: list[str] | None = None, vector: str | None = None) -> float:
     """The sum of squared distances to the nearest centroids."""
-    d = _distances(cols, vector, centroids)
-    return float(df.agg(F.sum(F.least(*d) if len(d) > 1 else d[0])).first()[0])
+    return float(assign(df.select(*(cols or [vector])), centroids, cols, vector).agg(F.sum("distance2")).first()[0])
 
 
 def log_terms(mix: Mixture, cols: list[str]) -> list[Column]:
@@ -63,34 +94,68 @@ def responsibilities(df: DataFrame, mix: Mixture, cols: list[str]) -> DataFrame:
     return rows.withColumn("loglik", F.col("_top") + F.log("_sum")).drop(*names, "_top", "_sum")
 
 
-def moments(df: DataFrame, mix: Mixture, cols: list[str]) -> DataFrame:
-    """The E-step's sums in one row: n, loglik, and per component n{k}, s{k}_{i}, q{k}_{i}_{j}."""
-    rows = responsibilities(df, mix, cols)
-    aggs = [F.count("*").alias("n"), F.sum("loglik").alias("loglik")]
+def _log_terms(mix: Mixture, x: np.ndarray) -> np.ndarray:
+    """log w_k + log N(x; k), (n, K)."""
+    out = np.empty((len(x), mix.k))
     for k in range(mix.k):
-        r = F.col(f"r{k}")
-        aggs.append(F.sum(r).alias(f"n{k}"))
-        aggs += [F.sum(r * F.col(c)).alias(f"s{k}_{i}") for i, c in enumerate(cols)]
-        aggs += [F.sum(r * F.col(cols[i]) * F.col(cols[j])).alias(f"q{k}_{i}_{j}") for i in range(len(cols)) for j in range(i + 1)]
-    return rows.agg(*aggs)
+        low = cholesky(mix.covs[k])
+        y = np.linalg.solve(low, (x - mix.means[k]).T)
+        out[:, k] = math.log(max(float(mix.weights[k]), 1e-300)) - (y**2).sum(0) / 2 - np.log(np.diag(low)).sum() - x.shape[1] / 2 * math.log(2 * math.pi)
+    return out
+
+
+def moments(df: DataFrame, mix: Mixture, cols: list[str]) -> DataFrame:
+    """The E-step's sums: rows (k, i, j, value). Component k has its responsibilities (i and j null), first moments (j
+    null) and second ones (j <= i); k null is n (i = 0) and the log-likelihood (i = 1)."""
+    d = len(cols)
+    low_i, low_j = np.tril_indices(d)
+    i = [None] + list(range(d)) + low_i.tolist()
+    j = [None] * (d + 1) + low_j.tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n, loglik = np.zeros((mix.k, len(i))), 0, 0.0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                x = _points(batch.slice(at, 8192), names, None)
+                t = _log_terms(mix, x)
+                top = t.max(1, keepdims=True)
+                r = np.exp(t - top)
+                total = r.sum(1, keepdims=True)
+                loglik += float((top + np.log(total)).sum())
+                n += len(x)
+                r /= total
+                sums[:, 0] += r.sum(0)
+                sums[:, 1 : d + 1] += r.T @ x
+                sums[:, d + 1 :] += r.T @ (x[:, low_i] * x[:, low_j])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k in range(mix.k) for _ in i] + [None] * 2, pa.int32()), pa.array(i * mix.k + [0, 1], pa.int32()), pa.array(j * mix.k + [None] * 2, pa.int32()), pa.array([*sums.ravel().tolist(), float(n), loglik])],
+            names=["k", "i", "j", "value"],
+        )
+
+    names = [f"_x{k}" for k in range(d)]
+    own = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, names, strict=True)]).dropna()
+    return own.mapInArrow(run, "k int, i int, j int, value double").groupBy("k", "i", "j").agg(F.sum("value").alias("value"))
 
 
 def em_step(df: DataFrame, mix: Mixture, cols: list[str], ridge: float = 1e-9) -> tuple[Mixture, float]:
     """One step of EM: the next mixture, and the mean log-likelihood of this one."""
-    row, d = moments(df, mix, cols).first(), len(cols)
+    got = {(r["k"], r["i"], r["j"]): r["value"] for r in moments(df, mix, cols).collect()}  # K (d + 1) (d + 2) / 2 rows
+    d, n = len(cols), got.get((None, 0, None), 0.0)
+    if not n:
+        raise ValueError("the dataset is empty")
     w, mu, cov = np.empty(mix.k), np.empty((mix.k, d)), np.empty((mix.k, d, d))
     for k in range(mix.k):
-        nk = max(row[f"n{k}"], 1e-300)
-        w[k] = row[f"n{k}"] / row["n"]
-        if row[f"n{k}"] < 1e-8:  # an empty component stays
+        nk = got[k, None, None]
+        w[k] = nk / n
+        if nk < 1e-8:  # an empty component stays
             mu[k], cov[k] = mix.means[k], mix.covs[k]
             continue
-        mu[k] = [row[f"s{k}_{i}"] / nk for i in range(d)]
+        mu[k] = [got[k, i, None] / nk for i in range(d)]
         for i in range(d):
             for j in range(i + 1):
-                cov[k, i, j] = cov[k, j, i] = row[f"q{k}_{i}_{j}"] / nk - mu[k, i] * mu[k, j]
+                cov[k, i, j] = cov[k, j, i] = got[k, i, j] / nk - mu[k, i] * mu[k, j]
         cov[k] += ridge * max(1e-300, np.trace(cov[k]) / d) * np.eye(d)
-    return Mixture(w / w.sum(), mu, cov), row["loglik"] / row["n"]
+    return Mixture(w / w.sum(), mu, cov), got[None, 1, None] / n
 
 
 def em(df: DataFrame, k: int, cols: list[str], rounds: int = 20, runs: int = 1, seed: int = 0) -> tuple[Mixture, float]:
@@ -138,5 +203,3 @@ def ellipses(spark: SparkSession, mix: Mixture, dims: tuple[int, int] = (0, 1),
         rows.append((k, float(mix.weights[k]), *(float(mix.means[k][i]) for i in dims), c * math.sqrt(max(lam[1], 0)), c * math.sqrt(max(lam[0], 0)), (angle + 90) % 180 - 90))
     return spark.createDataFrame(rows, "k int, weight double, x double, y double, width double, height double, angle double")
 
-
-__all__ = ["Mixture", "assign", "draw_mixture", "ellipses", "em", "em_step", "log_density", "log_likelihood", "log_terms", "moments", "responsibilities", "sse", "symmetric_kl"]

@@ -1,13 +1,14 @@
 """Differentially private sketches: sensitivities, the analytic Gaussian mechanism, and noisy sums.
 
-Noise is added on the driver to the final sums, which are never written; the generator is seeded by the operating
-system unless a seed is given for tests. Bounds and scales must not come from the data. Noise is complex and the two
+Noise is added on the driver to the final sums, which are never written; it comes from the operating system's
+cryptographic generator unless a seed is given for tests. Bounds and scales must not come from the data. Noise is complex and the two
 maps below only are supported. Double-precision noise has the known artefacts of floating point.
 """
 
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -69,16 +70,36 @@ def gaussian_scale(epsilon: float, delta: float, sens: float, tol: float = 1e-12
     return hi
 
 
-def private_vector(z: np.ndarray, n: int, fmap: FeatureMap, epsilon: float, delta: float = 0.0, dp: str = "UDP", analytic: bool = True, split: float | None = None, seed=None, compat: bool = False) -> np.ndarray:
-    """Noise for a clean sketch z of n rows."""
+class _Noise:
+    """Normal and Laplace noise, m numbers at a time."""
+
+    def __init__(self, seed=None):
+        self.own = random.SystemRandom() if seed is None else None
+        self.seeded = None if seed is None else np.random.default_rng(seed)
+
+    def normal(self, scale: float, m: int) -> np.ndarray:
+        return np.array([self.own.gauss(0, scale) for _ in range(m)]) if self.own else self.seeded.normal(0, scale, m)
+
+    def laplace(self, scale: float, m: int) -> np.ndarray:
+        if self.seeded:
+            return self.seeded.laplace(0, scale, m)
+        u = [self.own.random() - 0.5 for _ in range(m)]
+        return np.array([math.copysign(-scale * math.log1p(-min(2 * abs(x), 1 - 1e-16)), x) for x in u])
+
+
+def private_parts(z: np.ndarray, n: int, fmap: FeatureMap, epsilon: float, delta: float = 0.0, dp: str = "UDP", analytic: bool = True, split: float | None = None, seed=None, compat: bool = False) -> tuple[np.ndarray, float]:
+    """Noise for a clean sketch z of n rows: the private sketch, and what may be published as its n.
+
+    Under add/remove n is private too: part of the budget is for it, and the noisy n is given. Under replace it is public.
+    """
     if math.isinf(epsilon):
-        return z
+        return z, n
     if epsilon <= 0 or not 0 <= delta < 1:
         raise ValueError("epsilon must be positive and delta in [0, 1)")
-    rng = np.random.default_rng(seed)
+    rng = _Noise(seed)
     kind, m = relation(dp), len(z)
     own = epsilon
-    if kind == "udp":  # part of the budget is for n
+    if kind == "udp":
         split = 2 * m / (2 * m + 1) if split is None else split
         if not 0 < split < 1:
             raise ValueError("split must be between 0 and 1")
@@ -88,13 +109,19 @@ def private_vector(z: np.ndarray, n: int, fmap: FeatureMap, epsilon: float, delt
         if not analytic and own >= 1:
             raise ValueError("the classical Gaussian mechanism needs epsilon < 1")
         scale = gaussian_scale(own, delta, s) if analytic else math.sqrt(2 * math.log(1.25 / delta)) * s / own
-        noise = rng.normal(0, scale, m) + 1j * rng.normal(0, scale, m)
+        noise = rng.normal(scale, m) + 1j * rng.normal(scale, m)
     else:
         scale = sensitivity(fmap, 1, dp, 1, compat) / own
-        noise = rng.laplace(0, scale, m) + 1j * rng.laplace(0, scale, m)
+        noise = rng.laplace(scale, m) + 1j * rng.laplace(scale, m)
     if kind == "bdp":
-        return z + noise / n
-    return (n * z + noise) / (n + rng.laplace(0, 1 / (epsilon - own)))
+        return z + noise / n, n
+    noisy = n + float(rng.laplace(1 / (epsilon - own), 1)[0])
+    return (n * z + noise) / noisy, noisy
+
+
+def private_vector(z: np.ndarray, n: int, fmap: FeatureMap, epsilon: float, delta: float = 0.0, **params) -> np.ndarray:
+    """The private sketch alone; parameters as in ``private_parts``."""
+    return private_parts(z, n, fmap, epsilon, delta, **params)[0]
 
 
 def private_sketch(df: DataFrame, fmap: FeatureMap, epsilon: float, cols: list[str] | None = None, vector: str | None = None, **params) -> np.ndarray:

@@ -56,8 +56,9 @@ def variances_from_sketch(z: np.ndarray, fmap: FeatureMap, k: int = 1, blocks: i
 
 
 def exact_sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """Exactly n rows (or all, if fewer) by a hash of their content and place."""
-    return df.withColumn("_u", F.rand(seed)).orderBy("_u").limit(n).drop("_u")
+    """Exactly n rows (or all, if fewer) by a hash of their content, whatever the partitions. Only the least hashes of
+    each task meet in one."""
+    return df.withColumn("_u", F.xxhash64(*df.columns, F.lit(seed))).orderBy("_u").limit(n).drop("_u")
 
 
 def estimate_scale(df: DataFrame, cols: list[str], m0: int, k: int | None = None, blocks: int = 20, sample: int | None = None, law: str = "AR", rounds: int = 5, mode: str = "max", seed: int = 0):

@@ -1,10 +1,11 @@
 """Sketches: means of features over the rows of a DataFrame, in one pass.
 
-A sketch is a DataFrame of ``by`` columns, j, re, im and n (rows) and w (their weight): a mean over n or, with weights,
-the sum of weighted features. It depends on the data by sums only, so sketches of parts merge exactly.
+A sketch is a DataFrame of ``by`` columns, j, re, im, n (rows), w (their weight) and weighted: a mean over n or, with
+weights, the sum of weighted features. It depends on the data by sums only, so sketches of parts merge exactly.
 
 ``arrow`` sums features per partition with NumPy (one matrix product per batch) and shuffles m rows per partition and
-group. ``catalyst`` stays in the JVM: every row meets an array literal of the frequencies, and whole-stage code sums.
+group; sums of many groups are given out whenever they reach ``HELD`` bytes. ``catalyst`` stays in the JVM: every row
+meets an array literal of the frequencies, and whole-stage code sums; it takes maps of up to ``WIDE`` numbers.
 """
 
 from __future__ import annotations
@@ -21,50 +22,72 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 from tessera.operators.feature_map import FeatureMap
 
 CELLS = 1 << 19  # features that are formed at once
+HELD = 64 << 20  # bytes of sums of groups that a task holds
+WIDE = 1 << 14  # frequencies times dimensions of a map that becomes text of a plan
 
 
-def _clean(df: DataFrame, cols: list[str], vector: str | None, weight: str | None, nulls: str) -> DataFrame:
-    """Rows whose features are all there: ``drop`` leaves others out, ``error`` stops at them."""
+def _clean(df: DataFrame, cols: list[str], vector: str | None, weight: str | None, nulls: str, d: int | None = None) -> DataFrame:
+    """Rows whose features are all there, finite and, in a vector, d in number: ``drop`` leaves others out, ``error`` stops at them."""
     if nulls not in ("drop", "error"):
         raise ValueError("nulls is drop or error")
-    odd = lambda c: c.isNull() | F.isnan(c)
+    odd = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     bad = F.lit(False)
     for c in [*cols, *([weight] if weight else [])]:
         bad = bad | odd(F.col(c).cast("double"))
     if vector:
         bad = bad | F.col(vector).isNull() | F.coalesce(F.exists(vector, lambda v: odd(v.cast("double"))), F.lit(True))
+        if d is not None:
+            bad = bad | (F.size(vector) != d)
     if nulls == "drop":
         return df.filter(~bad)
-    return df.filter(F.when(bad, F.raise_error(F.lit("null or NaN in a feature"))).otherwise(F.lit(True)))
+    return df.filter(F.when(bad, F.raise_error(F.lit("a feature is null or not finite, or a vector of another length"))).otherwise(F.lit(True)))
 
 
 def _partial_sums(batches: Iterator[pa.RecordBatch], fmap: FeatureMap, cols: list[str], by: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     sums: dict[tuple, list] = {}
     step = max(1, CELLS // fmap.m)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for key, (z, n, total) in sums.items():
+            re, im = fmap.c_norm * z
+            columns = [[v] * fmap.m for v in key] + [np.arange(fmap.m, dtype=np.int32), re, im, [n] * fmap.m, [total] * fmap.m]
+            yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(i).type) for i, c in enumerate(columns)], schema=schema)
+        sums.clear()
+
     for batch in batches:
+        if not batch.num_rows:
+            continue
         if cols:
             x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols], 1)
         else:
             x = batch.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
         w = batch.column("_w").to_numpy(zero_copy_only=False) if "_w" in batch.schema.names else None
-        if by:
+        keys, starts = [()], np.zeros(1, np.int64)
+        if by:  # rows in order of their groups
             groups = pa.Table.from_batches([batch.select(by)]).append_column("_i", pa.array(np.arange(batch.num_rows))).group_by(by).aggregate([("_i", "list")])
-            parts = [(tuple(groups.column(b)[g].as_py() for b in by), groups.column("_i_list")[g].values.to_numpy()) for g in range(groups.num_rows)]
-        else:
-            parts = [((), slice(None))]
-        for key, at in parts:
-            xs, ws = x[at], None if w is None else w[at]
-            for k in range(0, len(xs), step):
-                part, pw = xs[k : k + step], None if ws is None else ws[k : k + step]
+            lists = groups.column("_i_list").combine_chunks()
+            order, starts = lists.flatten().to_numpy(), lists.offsets.to_numpy()[:-1].astype(np.int64)
+            keys = list(zip(*(groups.column(b).to_pylist() for b in by), strict=True))
+            x, w = x[order], None if w is None else w[order]
+        for k in range(0, len(x), step):
+            part, pw = x[k : k + step], None if w is None else w[k : k + step]
+            first = int(np.searchsorted(starts, k, "right")) - 1
+            at = np.maximum(starts[first : int(np.searchsorted(starts, k + len(part)))] - k, 0)
+            n = np.diff(at, append=len(part))
+            total = n.astype(float) if pw is None else np.add.reduceat(pw, at)
+            features = []
+            for y in fmap.f.parts(part @ fmap.omega + fmap.xi):
+                y = y if pw is None else y * pw[:, None]
+                features.append(np.add.reduceat(y, at, 0) if len(at) > 1 else y.sum(0)[None])
+            for g, key in enumerate(keys[first : first + len(at)]):
                 acc = sums.setdefault(key, [np.zeros((2, fmap.m)), 0, 0.0])
-                for row, y in zip(acc[0], fmap.f.parts(part @ fmap.omega + fmap.xi)):  # noqa: B905  a real wave has one part
-                    row += y.sum(0) if pw is None else pw @ y
-                acc[1] += len(part)
-                acc[2] += len(part) if pw is None else float(pw.sum())
-    for key, (z, n, total) in sums.items():
-        re, im = fmap.c_norm * z
-        columns = [[v] * fmap.m for v in key] + [np.arange(fmap.m, dtype=np.int32), re, im, [n] * fmap.m, [total] * fmap.m]
-        yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(i).type) for i, c in enumerate(columns)], schema=schema)
+                for row, y in zip(acc[0], features):  # noqa: B905  a real wave has one part
+                    row += y[g]
+                acc[1] += int(n[g])
+                acc[2] += float(total[g])
+            if len(sums) * fmap.m * 16 > HELD:
+                yield from out()
+    yield from out()
 
 
 def spread(rows: DataFrame, least_bytes: int = 1 << 20, split_bytes: int = 64 << 20) -> DataFrame:
@@ -98,6 +121,8 @@ def catalyst_rows(df: DataFrame, fmap: FeatureMap, cols: list[str], vector: str
     """A row per example and frequency: the kept columns, j, fre, fim, fw. All of it is built-in expressions."""
     if fmap.f.name == "user":
         raise ValueError("a function of your own needs the arrow backend")
+    if fmap.m * fmap.d > WIDE:
+        raise ValueError(f"the map has over {WIDE} numbers; use the arrow backend")
     spec = ", ".join(f"named_struct('j', {j}, 'xi', {float(fmap.xi[j])!r}D, {', '.join(f"'w{i}', {float(v)!r}D" for i, v in enumerate(fmap.omega[:, j]))})" for j in range(fmap.m))
     weights = F.col(weight).cast("double") if weight else F.lit(1.0)
     x = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)] if cols else [F.col(vector).cast("array<double>").alias("_v")]
@@ -129,28 +154,44 @@ def sketch(df: DataFrame, fmap: FeatureMap, cols: list[str] | None = None, vecto
     if cols and len(cols) != fmap.d:
         raise ValueError(f"the map has {fmap.d} dimensions, cols {len(cols)}")
     by, cols = by or [], cols or []
-    s = _summed(_clean(df, cols, vector, weight, nulls), fmap, cols, vector, weight, by, backend)
+    s = _summed(_clean(df, cols, vector, weight, nulls, fmap.d), fmap, cols, vector, weight, by, backend)
     over = F.lit(1.0) if weight else F.col("n")
-    return s.select(*by, "j", (F.col("sre") / over).alias("re"), (F.col("sim") / over).alias("im"), "n", "w")
+    return s.select(*by, "j", (F.col("sre") / over).alias("re"), (F.col("sim") / over).alias("im"), "n", "w", F.lit(bool(weight)).alias("weighted"))
+
+
+def _merged(grouped: GroupedData, *more) -> DataFrame:
+    """Sums of sketches times what they are means over, and what they are sums of; a sketch says which."""
+    return grouped.agg(F.sum("_re").alias("_re"), F.sum("_im").alias("_im"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.min("weighted").alias("weighted"), F.max("weighted").alias("_other"), *more)
+
 
+def _as_sums(s: DataFrame) -> DataFrame:
+    of = F.when(F.col("weighted"), 1.0).otherwise(F.col("n"))
+    return s.withColumns({"_re": F.col("re") * of, "_im": F.col("im") * of})
 
-def merge(sketches: list[DataFrame], by: list[str] | None = None, weighted: bool = False) -> DataFrame:
-    """The sketch of the union of the parts' rows."""
+
+def _as_sketch(s: DataFrame, *keys: str) -> DataFrame:
+    kinds = F.when(F.col("weighted") != F.col("_other"), F.raise_error(F.lit("weighted sketches don't merge with others")).cast("boolean")).otherwise(F.col("weighted"))
+    over = F.when(F.col("weighted"), 1.0).otherwise(F.col("n"))
+    return s.select(*keys, (F.col("_re") / over).alias("re"), (F.col("_im") / over).alias("im"), "n", "w", kinds.alias("weighted"))
+
+
+def merge(sketches: list[DataFrame], by: list[str] | None = None) -> DataFrame:
+    """The sketch of the union of the parts' rows; weighted sketches give the sum of the parts'."""
     by = by or []
     all_ = sketches[0]
     for s in sketches[1:]:
         all_ = all_.unionByName(s)
-    of = F.lit(1.0) if weighted else F.col("n")
-    out = all_.groupBy(*by, "j").agg(F.sum(F.col("re") * of).alias("re"), F.sum(F.col("im") * of).alias("im"), F.sum("n").alias("n"), F.sum("w").alias("w"))
-    over = F.lit(1.0) if weighted else F.col("n")
-    return out.select(*by, "j", (F.col("re") / over).alias("re"), (F.col("im") / over).alias("im"), "n", "w")
+    return _as_sketch(_merged(_as_sums(all_).groupBy(*by, "j")), *by, "j")
 
 
 def rollup(groups: DataFrame, by: list[str]) -> DataFrame:
-    """Sketches per group and for every coarser level (null: all), from the groups' sketches alone."""
-    rows = groups.select(*by, F.col("j").alias("jj"), (F.col("re") * F.col("n")).alias("re"), (F.col("im") * F.col("n")).alias("im"), "n")
-    out = rows.withColumn("_key", F.col("jj")).rollup("_key", *by).agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.sum("n").alias("n")).filter(F.col("_key").isNotNull())
-    return out.select(*by, F.col("_key").alias("j"), (F.col("re") / F.col("n")).alias("re"), (F.col("im") / F.col("n")).alias("im"), "n")
+    """Sketches per group and for every coarser level, from the groups' sketches alone.
+
+    ``level`` tells a null group from a total: it has a bit for each of ``by`` (the last one the lowest), set where that column is summed over.
+    """
+    rows = _as_sums(groups).withColumn("_key", F.col("j"))
+    out = _merged(rows.rollup("_key", *by), F.grouping_id().cast("long").alias("level")).filter(F.col("_key").isNotNull())
+    return _as_sketch(out.withColumn("j", F.col("_key")), *by, "level", "j")
 
 
 def to_vector(s: DataFrame) -> tuple[np.ndarray, int]:
@@ -162,23 +203,25 @@ def to_vector(s: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def from_vector(spark, z: np.ndarray, n: int) -> DataFrame:
-    return spark.createDataFrame([(j, float(v.real), float(v.imag), n, float(n)) for j, v in enumerate(np.asarray(z, complex))], "j int, re double, im double, n long, w double")
+    return spark.createDataFrame([(j, float(v.real), float(v.imag), n, float(n), False) for j, v in enumerate(np.asarray(z, complex))], "j int, re double, im double, n long, w double, weighted boolean")
 
 
-def sketch_callable(df: DataFrame, phi, cols: list[str]) -> np.ndarray:
-    """The mean of any function of one row (a NumPy array in, m numbers out)."""
+def sketch_callable(df: DataFrame, phi, cols: list[str], rows: bool = False) -> np.ndarray:
+    """The mean of any function: of one row (d numbers in, m out) or, with ``rows``, of many ((k, d) in, (k, m) out),
+    which spares a call for each row."""
+    many = phi if rows else lambda x: np.stack([np.asarray(phi(r), complex) for r in x])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0
         for b in batches:
-            for x in np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in cols], 1):
-                y = np.asarray(phi(x), complex)
-                total, n = y if total is None else total + y, n + 1
+            for k in range(0, b.num_rows, 8192):
+                y = np.asarray(many(np.stack([b.column(c).slice(k, 8192).to_numpy(zero_copy_only=False) for c in cols], 1)), complex)
+                total, n = y.sum(0) if total is None else total + y.sum(0), n + len(y)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total.real), pa.array(total.imag), pa.array(np.full(len(total), n))], names=["j", "re", "im", "n"])
 
-    rows = _clean(df, cols, None, None, "drop").select(*[F.col(c).cast("double").alias(c) for c in cols])
-    t = rows.mapInArrow(run, "j long, re double, im double, n long").groupBy("j").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.sum("n").alias("n")).toArrow().sort_by("j")
+    own = _clean(df, cols, None, None, "drop").select(*[F.col(c).cast("double").alias(c) for c in cols])
+    t = own.mapInArrow(run, "j long, re double, im double, n long").groupBy("j").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.sum("n").alias("n")).toArrow().sort_by("j")
     if not t.num_rows:
         raise ValueError("the dataset is empty")
     return (t.column("re").to_numpy() + 1j * t.column("im").to_numpy()) / t.column("n").to_numpy()

@@ -139,10 +139,9 @@ class Gaussians(Atoms):
         covs = [np.diag(t[self.d :]) if self.cov == "diag" else self.factor(t) @ self.factor(t).T for t in sol.theta]
         return Mixture(sol.weights, sol.theta[:, : self.d], np.array(covs))
 
-
     def parameters(self, mix: Mixture) -> np.ndarray:
         """The atoms of a mixture, e.g. to start from."""
-        rest = [np.diag(c) if self.cov == "diag" else cholesky(c)[self.rows, self.cols] for c in mix.covs]
+        rest = [np.diag(c) if self.cov == "diag" else cholesky(feasible(c))[self.rows, self.cols] for c in mix.covs]
         return np.clip(np.concatenate((mix.means, np.array(rest)), 1), self.lo, self.hi)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import density, waves
-from tessera.operators import atoms, histogram, mixtures, privacy, scale, solvers
+from tessera.operators import atoms, histogram, mixtures, privacy, scale
 from tessera.operators.feature_map import FeatureMap
 from tessera.operators.sketch import from_vector, merge, rollup, sketch, to_vector
 from tessera.sources import datasets, frequencies
@@ -139,10 +139,10 @@ def sketch_by_group(spark, sf_dir):
     return _rounded(sketch(_lineitem(spark, sf_dir, "l_returnflag"), FeatureMap.of("ComplexExponential", OMEGA, XI), X, by=["l_returnflag"]), "l_returnflag")
 
 
-@register("sketch_rollup", _sketch_sql(_EXP, XI, keys="l_returnflag").replace("GROUP BY l_returnflag, j", "GROUP BY GROUPING SETS ((l_returnflag, j), (j))"))
+@register("sketch_rollup", _sketch_sql(_EXP, XI, keys="l_returnflag").replace("GROUP BY l_returnflag, j", "GROUP BY GROUPING SETS ((l_returnflag, j), (j))").replace("SELECT l_returnflag, j,", "SELECT l_returnflag, CAST(GROUPING(l_returnflag) AS BIGINT) AS level, j,"))
 def sketch_rollup(spark, sf_dir):
     groups = sketch(_lineitem(spark, sf_dir, "l_returnflag"), FeatureMap.of("ComplexExponential", OMEGA, XI), X, by=["l_returnflag"])
-    return _rounded(rollup(groups, ["l_returnflag"]), "l_returnflag")
+    return _rounded(rollup(groups, ["l_returnflag"]), "l_returnflag", "level")
 
 
 @register("sketch_merge", _sketch_sql(_EXP, XI))
@@ -309,7 +309,8 @@ def sensitivity_table(spark, sf_dir):
 def _private(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
     fmap = FeatureMap.of("ComplexExponential", OMEGA, XI)
     z, n = to_vector(sketch(_lineitem(spark, sf_dir), fmap, X))
-    return _rounded(from_vector(spark, privacy.private_vector(z, n, fmap, seed=1, **params), n))
+    noisy, given = privacy.private_parts(z, n, fmap, seed=1, **params)
+    return _rounded(from_vector(spark, noisy, round(given)))  # under add/remove the noisy n: the exact one is private
 
 
 register("dp_sketch_eps_inf", _sketch_sql(_EXP, XI))(lambda spark, sf_dir: _private(spark, sf_dir, epsilon=math.inf))
@@ -385,14 +386,11 @@ _EM = [f"round(sum(r{k}) / count(*), 6) AS w{k}, " + ", ".join([f"round(sum(r{k}
 
 @register("em_step", f"SELECT {', '.join(_EM)}, round(avg(loglik), 6) AS loglik FROM {_RESP}")
 def em_step(spark, sf_dir):
-    m = mixtures.moments(_part(spark, sf_dir), MIX2, ["p0", "p1"])
-    out: list[Column] = []
+    mix, loglik = mixtures.em_step(_part(spark, sf_dir), MIX2, ["p0", "p1"], ridge=0.0)
+    row = {"loglik": loglik}
     for k in (0, 1):
-        n = F.col(f"n{k}")
-        out.append(F.round(n / F.col("n"), 6).alias(f"w{k}"))
-        out += [F.round(F.col(f"s{k}_{i}") / n, 6).alias(f"mu{k}_{i}") for i in (0, 1)]
-        out += [_r(F.col(f"q{k}_{i}_{j}") / n - F.col(f"s{k}_{i}") / n * (F.col(f"s{k}_{j}") / n)).alias(f"cov{k}_{i}_{j}") for i, j in ((0, 0), (1, 0), (1, 1))]
-    return m.select(*out, F.round(F.col("loglik") / F.col("n"), 6).alias("loglik"))
+        row |= {f"w{k}": mix.weights[k]} | {f"mu{k}_{i}": mix.means[k, i] for i in (0, 1)} | {f"cov{k}_{i}_{j}": mix.covs[k, i, j] for i, j in ((0, 0), (1, 0), (1, 1))}
+    return spark.createDataFrame([tuple(round(float(v), 6) + 0.0 for v in row.values())], ", ".join(f"{c} double" for c in row))
 
 
 @register("simplex_projection", """
@@ -411,85 +409,15 @@ def hist_direct(spark, sf_dir):
     return h.select("bin", F.round("p", 6).alias("p"))
 
 
-# ---------------------------------------------------------------- learning (no SQL twin)
-_X2 = ["x0", "x1"]
-_BOUNDS2 = np.array([[0.0, 0.0], [1.0, 1.1]])
+def _registry() -> dict[str, Registered]:
+    from tessera import planted  # noqa: F401  registers the queries of learning
 
-
-def _two(spark: SparkSession, sf_dir: str, m: int, law: str = "AR", seed: int = 50, f="ComplexExponential", xi=None, sigma: float = 0.02) -> tuple[np.ndarray, FeatureMap]:
-    fmap = FeatureMap.of(f, frequencies.draw(law, 2, m, sigma, seed=seed), xi)
-    return to_vector(sketch(_lineitem(spark, sf_dir), fmap, _X2))[0], fmap
-
-
-def _centroid_table(spark: SparkSession, sol: solvers.Solution) -> DataFrame:
-    return spark.createDataFrame([(k, float(w), c.tolist()) for k, (w, c) in enumerate(zip(sol.weights, sol.theta, strict=True))], "k int, weight double, c array<double>")
-
-
-@register("ckm")
-def ckm(spark, sf_dir):
-    z, fmap = _two(spark, sf_dir, 80, "ARKM")
-    return _centroid_table(spark, solvers.kmeans_from_sketch(z, fmap, 4, _BOUNDS2, runs=2, seed=1))
-
-
-@register("ckm_restarts")
-def ckm_restarts(spark, sf_dir):
-    z, fmap = _two(spark, sf_dir, 80, "ARKM")
-    return solvers.fit_restarts(spark, lambda: solvers.Pursuit(solvers.Points(fmap, _BOUNDS2), z, 4), 4, seed=1)
-
-
-@register("ckm_dims")
-def ckm_dims(spark, sf_dir):
-    z, fmap = _two(spark, sf_dir, 80, "ARKM")
-    return _centroid_table(spark, solvers.kmeans_from_sketch(z, fmap, 3, _BOUNDS2, seed=1, dims=[0]))
-
-
-@register("quantized_ckm")
-def quantized_ckm(spark, sf_dir):
-    """Acquired by two bits per frequency, decoded by the first harmonic of the square wave."""
-    xi = frequencies.dither(100, seed=51)
-    z, fmap = _two(spark, sf_dir, 100, "ARKM", f="universalQuantization_complex", xi=xi)
-    return _centroid_table(spark, solvers.kmeans_from_sketch(z, fmap.with_wave("ComplexExponential", 4 / math.pi), 4, _BOUNDS2, seed=1))
-
-
-def _mixture(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
-    z, fmap = _two(spark, sf_dir, 120)
-    return solvers.mixture_from_sketch(z, fmap, 3, _BOUNDS2, seed=1, **params)[0].table(spark)
-
-
-register("clomp_gmm")(lambda spark, sf_dir: _mixture(spark, sf_dir))
-register("clhs_gmm")(lambda spark, sf_dir: _mixture(spark, sf_dir, method="splitting"))
-register("gmm_full")(lambda spark, sf_dir: _mixture(spark, sf_dir, cov="full"))
-register("clhs_full")(lambda spark, sf_dir: _mixture(spark, sf_dir, cov="full", method="splitting"))
-register("mixture_ellipses")(lambda spark, sf_dir: mixtures.ellipses(spark, MIX2))
-register("em_gmm")(lambda spark, sf_dir: mixtures.em(_part(spark, sf_dir), 2, ["p0", "p1"], seed=1)[0].table(spark))
-
-
-@register("estimate_sigma")
-def estimate_sigma(spark, sf_dir):
-    w, s = scale.estimate_scale(_lineitem(spark, sf_dir), X, 100, k=2, sample=2000, seed=2)
-    return spark.createDataFrame([(k, float(a), float(b[0, 0])) for k, (a, b) in enumerate(zip(w, s, strict=True))], "k int, weight double, variance double")
-
-
-@register("symm_kl")
-def symm_kl(spark, sf_dir):
-    other = Mixture(np.array([0.5, 0.5]), MIX2.means + 0.05, MIX2.covs)
-    return spark.createDataFrame([(mixtures.symmetric_kl(spark, MIX2, other), mixtures.symmetric_kl(spark, MIX2, MIX2))], "kl double, self double")
-
-
-def _hist(spark: SparkSession, sf_dir: str, f) -> DataFrame:
-    fmap = FeatureMap.of("ComplexExponential", frequencies.draw("Gaussian", 1, 60, 0.01, seed=52))
-    z, _ = to_vector(sketch(_lineitem(spark, sf_dir), fmap, ["x0"]))
-    domain = np.array([[0.01, 1.01]])
-    return histogram.table(spark, f(z, fmap, domain, 0, bins=10), histogram.bins_of(domain, 0, bins=10))
-
-
-register("hist_mmd")(lambda spark, sf_dir: _hist(spark, sf_dir, histogram.histogram_mmd))
-register("hist_m2m")(lambda spark, sf_dir: _hist(spark, sf_dir, histogram.histogram_m2m))
+    return REGISTRY
 
 
 def queries() -> dict[str, Query]:
-    return {name: r.run for name, r in REGISTRY.items()}
+    return {name: r.run for name, r in _registry().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: r.sql for name, r in REGISTRY.items() if r.sql}
+    return {name: r.sql for name, r in _registry().items() if r.sql}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.functions.density import adapted_radius, cholesky, difference_of_gaussians, inverse_cdf
+from tessera.functions.density import adapted_radius, cholesky, difference_of_gaussians, gaussian_side, inverse_cdf
 
 #: Fixed names of the laws (any case).
 ALIASES = {
@@ -55,10 +55,10 @@ def adapted(d: int, m: int, sigma: np.ndarray | None = None, kmeans: bool = Fals
     return _whiten(sigma, _directions(d, m, rng) * radius)
 
 
-def of_gaussian_difference(d: int, m: int, upper: tuple, lower: tuple, seed=None) -> np.ndarray:
-    """Radii by the difference of two one-dimensional mixtures, (weights, scales) each; directions uniform."""
+def of_gaussian_difference(d: int, m: int, upper: tuple | float, lower: tuple | float | None = None, seed=None) -> np.ndarray:
+    """Radii by the difference of two one-dimensional mixtures, (weights, deviations), a deviation or none each; directions uniform."""
     rng = _rng(seed)
-    r = np.linspace(0, 4 * max(*np.ravel(upper[1]), *np.ravel(lower[1])), 1001)
+    r = np.linspace(0, 4 * max(gaussian_side(upper)[1] + gaussian_side(lower)[1]), 1001)
     return _directions(d, m, rng) * inverse_cdf(difference_of_gaussians(r, upper, lower), r, rng.uniform(size=m))
 
 

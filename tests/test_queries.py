@@ -40,9 +40,11 @@ def test_entry_imports_without_the_subpackage(tmp_path):
 
 
 def test_em_and_divergence_run_with_the_operators_own_settings(spark, monkeypatch):
+    from tessera import planted
+
     seen = []
-    monkeypatch.setattr(core.mixtures, "em", lambda df, k, cols, rounds=20, runs=1, seed=0: seen.append(rounds) or (core.MIX2, 0.0))
-    monkeypatch.setattr(core.mixtures, "symmetric_kl", lambda spark, p, q, n=500_000, seed=0: seen.append(n) or 0.0)
+    monkeypatch.setattr(planted.mixtures, "em", lambda df, k, cols, rounds=20, runs=1, seed=0: seen.append(rounds) or (core.MIX2, 0.0))
+    monkeypatch.setattr(planted.mixtures, "symmetric_kl", lambda spark, p, q, n=500_000, seed=0: seen.append(n) or 0.0)
     core.queries()["em_gmm"](spark, SF)
     core.queries()["symm_kl"](spark, SF)
     assert seen == [20, 500_000, 500_000]

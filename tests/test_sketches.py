@@ -69,6 +69,7 @@ def test_weights_groups_merging_and_rollup(frame):
     groups = sketch(frame, fmap, ["a", "b"], by=["g"])
     assert np.allclose(vec(groups.filter("g = 'u'")), even)
     rolled = rollup(groups, ["g"])
+    assert {(r.g, r.level) for r in rolled.collect()} == {(g.g, 0) for g in groups.collect()} | {(None, 1)}
     assert np.allclose(vec(rolled.filter("g is null")), fmap(DATA).mean(0)) and np.allclose(vec(rolled.filter("g = 'u'")), even)
     parts = [sketch(frame.filter(F.col("id") % 3 == r), fmap, ["a", "b"]) for r in range(3)]
     assert np.allclose(vec(merge(parts)), fmap(DATA).mean(0))
@@ -83,7 +84,7 @@ def test_nulls_and_empty_data(spark):
     fmap = FeatureMap.of("cosine", OMEGA)
     z, n = to_vector(sketch(df, fmap, ["a", "b"]))
     assert n == 1 and np.allclose(z, fmap(np.array([1.0, 2.0])))
-    with pytest.raises(Exception, match="null or NaN"):
+    with pytest.raises(Exception, match="null or not finite"):
         sketch(df, fmap, ["a", "b"], nulls="error").collect()
     with pytest.raises(ValueError, match="empty"):
         to_vector(sketch(df.filter("a > 5"), fmap, ["a", "b"]))
@@ -378,3 +379,54 @@ def test_sketches_can_be_kept(spark, frame, tmp_path):
     assert np.allclose(same(DATA[0]), fmap(DATA[0])) and np.allclose(vec(back.filter("g = 'u'")), fmap(DATA[::2] / [2, 1]).mean(0))
     with pytest.raises(ValueError):
         tables.write_sketch(s, fmap.with_wave(np.cos), str(tmp_path / "u"))
+
+
+def test_odd_vectors_and_numbers_are_left_out(spark):
+    fmap = FeatureMap.of("ComplexExponential", OMEGA, XI)
+    good = [[1.0, 2.0], [0.5, -1.0]]
+    odd = [[1.0], [1.0, 2.0, 3.0], [float("inf"), 0.0], [0.0, float("-inf")], [None, 1.0], [], None]
+    df = spark.createDataFrame([(v,) for v in good + odd], "v array<double>")
+    for backend in ("arrow", "catalyst"):
+        z, n = to_vector(sketch(df, fmap, vector="v", backend=backend))
+        assert n == 2 and np.allclose(z, fmap(np.array(good)).mean(0))
+    with pytest.raises(Exception, match="another length"):
+        sketch(df, fmap, vector="v", nulls="error").collect()
+    wide = FeatureMap.of("cosine", np.ones((200, 100)))
+    with pytest.raises(ValueError, match="arrow"):
+        sketch(df, wide, vector="v", backend="catalyst")
+
+
+def test_many_groups_are_given_out_in_parts(spark, monkeypatch):
+    from tessera.operators import sketch as module
+
+    fmap = FeatureMap.of("ComplexExponential", OMEGA, XI)
+    monkeypatch.setattr(module, "HELD", 2000)
+    monkeypatch.setattr(module, "CELLS", 7 * fmap.m)
+    x = RNG.normal(size=(400, 2))
+    rows = [(float(a), float(b), i % 23 if i % 29 else None, 1.0 + i % 3) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, g long, w double")
+    got = sketch(df, fmap, ["a", "b"], by=["g"], weight="w").toPandas()
+    for g in (None, 0, 22):
+        at = [i for i, r in enumerate(rows) if r[2] == g]
+        mine = (got[got.g.isna()] if g is None else got[got.g == g]).sort_values("j")
+        assert np.allclose(mine.re + 1j * mine.im, np.array([rows[i][3] for i in at]) @ fmap(x[at])) and (mine.n == len(at)).all()
+
+
+def test_sketches_of_different_kinds_dont_merge(frame):
+    fmap = FeatureMap.of("ComplexExponential", OMEGA, XI)
+    with pytest.raises(Exception, match="don't merge"):
+        merge([sketch(frame, fmap, ["a", "b"]), sketch(frame, fmap, ["a", "b"], weight="w")]).collect()
+    z = sketch_callable(frame, lambda x: np.stack([x[:, 0], x.prod(1)], 1), ["a", "b"], rows=True)
+    assert np.allclose(z, [DATA[:, 0].mean(), DATA.prod(1).mean()])
+
+
+def test_unseeded_noise_has_its_scale():
+    noise = privacy._Noise()
+    a, b = noise.normal(2.0, 20_000), noise.laplace(2.0, 20_000)
+    assert abs(a.std() - 2) < 0.1 and abs(np.abs(b).mean() - 2) < 0.1 and abs(b.mean()) < 0.1 and not np.array_equal(a, privacy._Noise().normal(2.0, 20_000))
+
+
+def test_assignment_of_odd_rows(spark):
+    df = spark.createDataFrame([([0.0, 0.0], 1), ([2.0, 1.0], 2), (None, 3), ([1.0], 4), ([float("nan"), 1.0], 5), ([1.0, 0.0], 6)], "v array<double>, i int")
+    got = {r.i: (r.cluster, r.distance2) for r in mixtures.assign(df, np.array([[0.0, 0.0], [2.0, 0.0]]), vector="v").collect()}
+    assert got == {1: (0, 0.0), 2: (1, 1.0), 3: (None, None), 4: (None, None), 5: (None, None), 6: (0, 1.0)}
