@@ -101,13 +101,18 @@ def tidy(f):
         try:
             yield from f(*args, **params)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            trim()
 
     return run
 
 
+def trim() -> None:
+    """Give memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -218,7 +223,7 @@ def hash_words(texts: pa.Array, lower: bool = True, cut_stops: bool = False) ->
     return Words(raw, starts, ends, h, np.searchsorted(starts, offs))
 
 
-def text_slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def text_slices(texts: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes (or one row), so that numpy's temporaries stay small."""
     _, offs = _text_buffers(texts) if len(texts) else (None, np.zeros(1, np.int64))
     a = 0

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import U64, Workspace, connected_components, hash_words, join_spread, mix64, ranges, text_slices, tidy
+from tessera.llm.common import U64, Workspace, connected_components, hash_words, join_spread, mix64, ranges, text_slices, tidy, trim
 
 _COEF = mix64(np.arange(1, 257, dtype=np.uint64)) | U64(1)
 _SETS = "doc_id long, cls long, n_shingles long, sketch binary"
@@ -213,6 +213,8 @@ def _block_links(rows: pa.Table, p100: int) -> pa.Table:
                 root[root == y] = x
                 outs.append((ca[i], cb[j]))
     x = np.array(outs, np.int64).reshape(-1, 2)
+    del sb, values, owner, order
+    trim()
     return pa.table({"a": x[:, 0], "b": x[:, 1]})
 
 
