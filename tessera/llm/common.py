@@ -130,6 +130,14 @@ def join_spread(big: DataFrame, small: DataFrame, keys: list[str], by: str, rows
     return left.join(right, [*keys, "_part"], how).drop("_part", "members")
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Let workers get 2,000 texts at a time, unless the session says how many: with Spark's own 10,000 rows a worker and
+    the JVM beside it hold a few times that many whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 # ---------------------------------------------------------------- word hashing
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -270,14 +278,19 @@ def connected_components(ws: Workspace, edges: DataFrame, tag: str = "cc") -> Da
 
 
 # ---------------------------------------------------------------- ids of words
-def hash_segments(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of consecutive non-empty byte segments that cover ``raw``."""
-    lens = np.diff(ends, prepend=0)
-    ptr = ends - lens
-    at = np.arange(len(raw), dtype=np.int64) - np.repeat(ptr, lens)
-    v = _BYTE[raw]
-    v *= _powers(int(lens.max()))[at]
-    return mix64(np.add.reduceat(v, ptr) + lens.astype(U64))
+def hash_segments(raw: np.ndarray, ends: np.ndarray, most: int = 1 << 17) -> np.ndarray:
+    """64-bit hashes of consecutive non-empty byte segments that cover ``raw``; about ``most`` bytes are worked on at once."""
+    out, lens, a, start = np.empty(len(ends), U64), np.diff(ends, prepend=0), 0, 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, start + most, "right")))
+        n = lens[a:b]
+        ptr = np.cumsum(n) - n
+        at = np.arange(int(ends[b - 1]) - start, dtype=np.int64) - np.repeat(ptr, n)
+        v = _BYTE[raw[start : ends[b - 1]]]
+        v *= _powers(int(n.max()))[at]
+        out[a:b] = mix64(np.add.reduceat(v, ptr) + n.astype(U64))
+        a, start = b, int(ends[b - 1])
+    return out
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:

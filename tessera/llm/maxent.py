@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Workspace, hash_words, mix64, partitions, ranges, text_slices, tidy
+from tessera.llm.common import U64, Workspace, hash_words, mix64, partitions, ranges, text_batches, text_slices, tidy
 
 HEADS_MOST, HEAD_LEAST, SUFFIXES, CONTEXTS = 8192, 16, 4096, 32
 END, START, TYPES = SUFFIXES, SUFFIXES + 1, SUFFIXES + 2 + HEADS_MOST  # types: by suffix, the end, the start, heads
@@ -418,6 +418,7 @@ def score(docs: DataFrame, rounds: int = 4, rate: float = RATE, shard_tokens: in
         raise ValueError("bits_most is between 1 and 16")
     spark = docs.sparkSession
     sc = spark.sparkContext
+    text_batches(spark)
     ws = Workspace(spark, "maxent")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), learned(F.col("doc_id")).alias("train"))
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import U64, Workspace, connected_components, hash_words, join_spread, mix64, ranges, text_slices, tidy, trim
+from tessera.llm.common import U64, Workspace, connected_components, hash_words, join_spread, mix64, ranges, text_batches, text_slices, tidy, trim
 
 _COEF = mix64(np.arange(1, 257, dtype=np.uint64)) | U64(1)
 _SETS = "doc_id long, cls long, n_shingles long, sketch binary"
@@ -228,6 +228,7 @@ def _open_lists(member: DataFrame, rows: int) -> DataFrame:
 def _classes(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64, index_k: int = 32, block: int = 512, block_bytes: int = 32 << 20, miss: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, cls, n_shingles; cls null without shingles), and the classes of equal sets (cls, the least doc_id, component)."""
     spark = docs.sparkSession
+    text_batches(spark)
     ws = Workspace(spark, "minhash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = ws.write(texts.mapInArrow(partial(_document_sets, n=words, k=k), _SETS), "sets")

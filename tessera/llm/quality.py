@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Workspace, _text_buffers, hash_segments, hash_words, text_slices, tidy
+from tessera.llm.common import Workspace, _text_buffers, hash_segments, hash_words, text_batches, text_slices, tidy
 
 _KIND = np.zeros(256, np.uint8)  # 0: other letters and bytes
 _KIND[ord("A") : ord("Z") + 1] = 1
@@ -214,6 +214,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Quality) -> Iterator[pa.Re
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **params) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold, else 0)."""
+    text_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "quality")
     stats = ws.write(document_statistics(docs), "stats")
     model = fit(stats, labels, **params)
@@ -232,6 +233,7 @@ def _good(batches: Iterator[pa.RecordBatch], model: Quality, threshold: float, t
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **params) -> DataFrame:
     """The rows of ``docs``, with all columns, whose score is at least ``threshold``; texts aren't shuffled."""
+    text_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "quality")
     model = fit(ws.write(document_statistics(docs), "stats"), labels, **params)
     ws.drop()

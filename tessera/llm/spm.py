@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, IdCache, flat, hash_segments, ranges, _text_buffers, text_slices, tidy
+from tessera.llm.common import U64, IdCache, flat, hash_segments, ranges, _text_buffers, text_batches, text_slices, tidy
 
 MARK = "▁"
 SHORT = (2, 1)
@@ -77,7 +77,7 @@ class Model:
         self.pieces = {i: p for p, i in self.ids.items()}
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self.cache = IdCache(np.int32, 100_000)
+        self.cache = IdCache(np.int32, 200_000)
 
     def merged(self, s: str) -> list[str]:
         """The pieces of a short string by the definition: merge the best-scored neighbours, leftmost first."""
@@ -254,13 +254,19 @@ def encode_batch(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]
 
 def decode_batch(model: Model, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
     """Texts (UTF-8) of consecutive runs of ids; the space of the prefix mark goes."""
-    n = model.length[ids]
-    raw = model.bytes[ranges(model.start[ids], n)]
-    total = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
-    out = []
-    for a, b in zip(total[:-1].tolist(), total[1:].tolist(), strict=True):
-        t = raw[a:b].tobytes()
-        out.append(t[1:] if t[:1] == b" " else t)
+    out: list[bytes] = []
+    ends, a = np.cumsum(counts), 0
+    while a < len(ends):  # some texts at a time
+        at = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, at + (1 << 15), "right")))
+        some = ids[at : ends[b - 1]]
+        n = model.length[some]
+        raw = model.bytes[ranges(model.start[some], n)]
+        total = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], ends[a:b] - at))]
+        for i, j in zip(total[:-1].tolist(), total[1:].tolist(), strict=True):
+            t = raw[i:j].tobytes()
+            out.append(t[1:] if t[:1] == b" " else t)
+        a = b
     return out
 
 
@@ -269,7 +275,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, digest: bool, names:
     model = load(path)
     for batch in batches:
         texts = batch.column("text")
-        for a, b in text_slices(texts, 1 << 19):
+        for a, b in text_slices(texts, 1 << 20):
             part = texts.slice(a, b - a)
             ids, n = encode_batch(model, part)
             ptr = np.concatenate(([0], np.cumsum(n)))
@@ -288,6 +294,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, digest: bool, names:
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
     """Per document: the ``keep`` columns, ids (or with ``digest`` ids_crc32 and, of the text decoded from them,
     text_crc32), n_ids, and whether the decoded text is the text."""
+    text_batches(docs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema if f.name in keep}
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
     out = "n_ids long, ids_crc32 long, text_crc32 long, round_trip boolean" if digest else "ids array<int>, n_ids long, round_trip boolean"
