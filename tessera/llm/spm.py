@@ -77,7 +77,7 @@ class Model:
         self.pieces = {i: p for p, i in self.ids.items()}
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self.cache = IdCache(np.int32, 200_000)
+        self.cache = IdCache(np.int32, 300_000)
 
     def merged(self, s: str) -> list[str]:
         """The pieces of a short string by the definition: merge the best-scored neighbours, leftmost first."""
@@ -98,7 +98,7 @@ class Model:
         if before < 0:
             ok = self.alone[piece] = self.merged(p) == [p]
             return ok
-        if len(self.pairs) > 200_000:  # saves work only
+        if len(self.pairs) > 400_000:  # saves work only
             self.pairs.clear()
         q = self.pieces[before]
         ok = self.pairs[before << 32 | piece] = self.merged(q + p) == [q, p]
