@@ -419,10 +419,10 @@ def sketch_user_wave(spark, sf_dir):
     return _rounded(sketch(_lineitem(spark, sf_dir), FeatureMap.of(lambda t: np.cos(t) ** 2 + 0.5j * np.sin(t), OMEGA, XI), X))
 
 
-@register("sketch_of_callable", f"SELECT j, round(re, 6) + 0e0 AS re, round(im, 6) + 0e0 AS im FROM (SELECT unnest([0, 1]) AS j, unnest([avg(x0 * x1), avg(abs(x2 - x3))]) AS re, unnest([avg(x0 + x3), 0e0]) AS im FROM (SELECT {_FEATURES} FROM lineitem) v) s")
+@register("sketch_of_callable", f"SELECT j, round(re, 6) + 0e0 AS re, round(im, 6) + 0e0 AS im FROM (SELECT unnest([0, 1]) AS j, unnest([avg(sin(x0) * x1), avg(sqrt(abs(x2 - x3)))]) AS re, unnest([avg(exp(x0) * x3), 0e0]) AS im FROM (SELECT {_FEATURES} FROM lineitem) v) s")
 def sketch_of_callable(spark, sf_dir):
     """The mean of a function of whole rows, many at a time."""
-    phi = lambda x: np.stack([x[:, 0] * x[:, 1] + 1j * (x[:, 0] + x[:, 3]), np.abs(x[:, 2] - x[:, 3])], 1)
+    phi = lambda x: np.stack([np.sin(x[:, 0]) * x[:, 1] + 1j * np.exp(x[:, 0]) * x[:, 3], np.sqrt(np.abs(x[:, 2] - x[:, 3]))], 1)
     z = sketch_callable(_lineitem(spark, sf_dir), phi, X, rows=True)
     return _rows(spark, [(j, _one(v.real, 6), _one(v.imag, 6)) for j, v in enumerate(z)], "j int, re double, im double")
 
