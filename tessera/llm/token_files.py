@@ -171,7 +171,7 @@ def _write_part(batches: Iterator[pa.RecordBatch], root: str, path: str, end_id:
         tokens, index = SequenceWriter(a, dtype, length, batch), pa.ipc.new_file(b, _DOCS)
         for rows in batches:
             texts, ids_of = rows.column("text"), rows.column("doc_id")
-            for lo, hi in text_slices(texts):
+            for lo, hi in text_slices(texts, 1 << 20):
                 ids, n = encode_texts(texts.slice(lo, hi - lo), path, by_word)
                 with_end = np.insert(ids, np.cumsum(n), np.asarray(end_id, dtype))
                 tokens.add(with_end)
