@@ -197,5 +197,40 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def _components_sql(rows: str, ids: str) -> str:
+    """``named``: r and the least id reachable by ``links`` (a, b; both ways) for each row of a table of r and an id."""
+    return f"""
+reach(r, o) AS (SELECT r, r FROM {rows} UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.o),
+named AS (SELECT reach.r, min(x.{ids}) AS component_id FROM reach JOIN {rows} x ON x.r = reach.o GROUP BY reach.r)"""
+
+
+OP1_SQL = f"""
+WITH RECURSIVE rows AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+fit AS MATERIALIZED (
+  SELECT r, list_transform(v, lambda x: coalesce(x, 0)) AS v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM rows
+  WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT x.r AS a, y.r AS b FROM fit x JOIN fit y ON x.r <> y.r AND len(x.v) = len(y.v) WHERE list_inner_product(x.v, y.v) / (x.size * y.size) >= 0.9
+), degrees AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a), {_components_sql("rows", "vec_id")}
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM rows JOIN named USING (r) LEFT JOIN degrees USING (r)
+"""
+
+
+OP9_SQL = rf"""
+WITH RECURSIVE rows AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM rows
+), sizes AS MATERIALIZED (SELECT r, count(*) AS n FROM shingles GROUP BY r), shared AS (
+  SELECT x.r AS a, y.r AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.g = y.g AND x.r <> y.r GROUP BY x.r, y.r
+), links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes p ON p.r = a JOIN sizes s ON s.r = b WHERE 100 * shared.n >= 85 * (p.n + s.n - shared.n)
+), {_components_sql("rows", "doc_id")}
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM rows JOIN named USING (r) LEFT JOIN sizes USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_inner_product_topk": OP2_SQL, "op4_chat_format": OP4_SQL, "op5_source_mix": OP5_SQL, "op10_url_filter": _op10_sql()}
+    return {"op1_embedding_dedup": OP1_SQL, "op2_inner_product_topk": OP2_SQL, "op4_chat_format": OP4_SQL, "op5_source_mix": OP5_SQL, "op9_minhash_dedup": OP9_SQL, "op10_url_filter": _op10_sql()}

@@ -80,6 +80,15 @@ def key(rows):
     return sorted(rows, key=repr)
 
 
+def by_sql(df, table, name, columns):
+    """The rows of a query's SQL over a table."""
+    import duckdb
+
+    db = duckdb.connect()
+    db.register(table, df.toArrow())
+    return db.sql(f"SELECT {columns} FROM ({q.oracle_sql()[name]})").fetchall()
+
+
 # ---------------------------------------------------------------- shared
 def test_word_hashes_follow_the_definition():
     texts = ["Ab  cd\n\x0bAB", None, "", " x ", "ÄB äb", "a.b c.", "z"]
@@ -96,6 +105,7 @@ def test_word_hashes_follow_the_definition():
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
+    edges += [(2000, 2001 + i) for i in range(1500)] + [(5000, 3600 + i) for i in range(900)]  # nodes that are dealt over tasks
     got = {x["node"]: x["component"] for x in connected_components(Workspace(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()}
     n = max(max(e) for e in edges) + 1
     label = embed_dedup.stars(*(np.array(x) for x in zip(*edges, strict=True)), n)
@@ -134,6 +144,7 @@ def test_embedding_dedup(spark, monkeypatch, block, target):
     got = embed_dedup.near_duplicates(df, target=target).collect()
     assert key((r.vec_id, r.n_links, r.component_id) for r in got) == key(brute_links(rows, 0.9))
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+    assert key(by_sql(df, "embeddings", "op1_embedding_dedup", "vec_id, n_links, component_id, kept")) == key((*w, w[0] == w[2]) for w in brute_links(rows, 0.9))
     for few in (rows[:1], rows[61:67], []):
         df = spark.createDataFrame([(a, b, 1) for a, b in few], "vec_id long, embedding array<double>, n_links int")
         assert embed_dedup.near_duplicates(df).count() == len(few)
@@ -576,6 +587,8 @@ def test_minhash(spark, corpus, words, percent):
     want = brute_components(corpus, words, percent)
     assert key((r.doc_id, r.n_shingles, r.component_id) for r in got) == key(want)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    if words == 3:
+        assert key(by_sql(df, "documents", "op9_minhash_dedup", "doc_id, n_shingles, component_id, kept")) == key((*w, w[0] == w[2]) for w in want)
     stay = minhash.drop_near_duplicates(df, words=words, percent=percent)
     assert stay.columns == df.columns
     assert key({r.doc_id for r in stay.collect()}) == key({i for i, _, c in want if i == c}) and stay.count() == len({i for i, _, c in want if i == c})
