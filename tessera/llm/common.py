@@ -247,18 +247,19 @@ def connected_components(ws: Workspace, edges: DataFrame, tag: str = "cc") -> Da
     """(node, component) for every node of ``edges`` (a long, b long); component is the least node reachable.
 
     Alternating large-star and small-star steps; each is a minimum per node (summed before the shuffle) and an
-    equi-join, and its result is written to the shared folder. Nothing reaches the driver but two sums a round.
+    equi-join that deals out nodes with many edges, and its result is written to the shared folder. Nothing reaches the
+    driver but two sums a round.
     """
 
     def state(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    def step(e: DataFrame, both: bool) -> DataFrame:
+    def step(e: DataFrame, both: bool, rows: int) -> DataFrame:
         pairs = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if both:
             pairs = pairs.unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = pairs.join(least, "u")
+        least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("members")).select("u", F.least("u", "m").alias("m"), "members")
+        joined = join_spread(pairs, least, ["u"], "v", rows)
         if both:  # large star: larger neighbours move to the least one
             out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:  # small star: smaller neighbours and the node itself
@@ -270,7 +271,8 @@ def connected_components(ws: Workspace, edges: DataFrame, tag: str = "cc") -> Da
     was, n = None, 0
     while (now := state(e)) != was:
         was, n = now, n + 1
-        e = ws.write(step(step(e, True), False), f"{tag}{n}")
+        rows = 2 * now[0]  # the edges from both ends; a step makes no more
+        e = ws.write(step(step(e, True, rows), False, rows), f"{tag}{n}")
         if n > 1:
             ws.drop(f"{tag}{n - 2}")
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
