@@ -272,9 +272,9 @@ def connected_components(ws: Workspace, edges: DataFrame, tag: str = "cc") -> Da
     while (now := state(e)) != was:
         was, n = now, n + 1
         rows = 2 * now[0]  # the edges from both ends; a step makes no more
-        e = ws.write(step(step(e, True, rows), False, rows), f"{tag}{n}")
-        if n > 1:
-            ws.drop(f"{tag}{n - 2}")
+        large = ws.write(step(e, True, rows), f"{tag}{n}large")  # written, as each step names its edges three times
+        e = ws.write(step(large, False, rows), f"{tag}{n}")
+        ws.drop(f"{tag}{n}large", f"{tag}{n - 1}")
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
